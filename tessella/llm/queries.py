@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import forms, tokens
+from tessella.llm import encodings, forms, tokens
 from tessella.sources.tables import table
 
 
@@ -38,10 +38,33 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("table_name", "record_id", forms.canonical_form("text").alias("form")).dropDuplicates(["table_name", "record_id"])
 
 
+def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:
+    conversions = table(spark, folder, "word_conversions")
+    noted = conversions.select(
+        F.lit("word_conversions").alias("table_name"),
+        F.lit("observations.first_nonempty_paragraphs").alias("field_name"),
+        F.col("id").alias("record_id"),
+        F.explode("observations.first_nonempty_paragraphs").alias("text"),
+    )
+    return fields(spark, folder, ("receipts", "id", "pdf_text_first_800"), ("word_conversions", "id", "markdown_text"), EXTRACTIONS).unionByName(noted)
+
+
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and paragraphs with wrongly decoded characters, as stored and as far as restored."""
+    found = encodings.restored(_decoded_fields(spark, folder), ["table_name", "field_name", "record_id"], "text")
+    return found.distinct()
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that hold wrongly decoded characters."""
+    found = encodings.restored(_decoded_fields(spark, folder), ["table_name", "field_name", "record_id"], "text")
+    return found.select("table_name", "record_id").distinct()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token ids."""
     return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
