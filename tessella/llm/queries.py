@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encodings, forms, tokens
+from tessella.llm import encodings, forms, tokens, truncation
 from tessella.sources.tables import table
 
 
@@ -66,5 +66,17 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source").where("cut").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source its texts, its cut texts and their share."""
+    rows = truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source")
+    counts = rows.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("long")).alias("n_cut"))
+    return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
+
+
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
