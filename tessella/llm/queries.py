@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encodings, forms, tokens, truncation
+from tessella.llm import encodings, forms, pieces, tokens, truncation
 from tessella.sources.tables import table
 
 
@@ -27,6 +27,31 @@ QUESTIONS = ("questions", "id", "question")
 BLOCKS = ("review_blocks", "block_id", "content.text")
 
 
+def _limits(spark: SparkSession, folder: str) -> dict[tuple[str, str, str], tuple[int, int, str]]:
+    """The rows of ``size_limits``: a handful, one for each field and purpose."""
+    rows = table(spark, folder, "size_limits").collect()
+    return {(r.table_name, r.field_name, r.purpose): (r.max_size, r.overlap, r.unit) for r in rows}
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    limits, out = _limits(spark, folder), None
+    for source in (EXTRACTIONS, CHUNKS, SECTIONS):
+        size, overlap, unit = limits[source[0], source[2], "piece"]
+        one = pieces.split(fields(spark, folder, source), ["table_name", "field_name", "record_id"], "text", size, overlap, unit)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every extracted text, chunk text and chunk section."""
+    return _pieces(spark, folder).dropDuplicates(["table_name", "field_name", "record_id", "piece_no"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a text above its limit: those that come out in more than one piece."""
+    return _pieces(spark, folder).where("piece_no = 1").select("table_name", "field_name", "record_id").distinct()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records of one table that look the same and differ in characters."""
     return forms.lookalikes(fields(spark, folder, QUESTIONS, EXTRACTIONS, BLOCKS), "record_id", "text", "table_name")
@@ -78,5 +103,15 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_shares": p10_shares}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_shares": p10_shares}
+SQL: dict[str, str] = {
+    "p2_found": """
+with f as (
+  select 'document_extractions' as table_name, 'normalized_text' as field_name, version_id as record_id, normalized_text as t from document_extractions
+  union all select 'rag_chunks', 'text', chunk_id, text from rag_chunks
+  union all select 'rag_chunks', 'section', chunk_id, section from rag_chunks)
+select distinct f.table_name, f.field_name, f.record_id
+from f join size_limits l on l.table_name = f.table_name and l.field_name = f.field_name and l.purpose = 'piece'
+where length(f.t) > l.max_size
+""",
+}
