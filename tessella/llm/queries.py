@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encodings, forms, pieces, tokens, truncation
+from tessella.llm import encodings, forms, packing, pieces, tokens, truncation
 from tessella.sources.tables import table
 
 
@@ -91,6 +91,22 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of each part of one larger than a container."""
+    capacity = _limits(spark, folder)["documents", "text", "container"][0]
+    sizes = tokens.count_tokens(table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "size", capacity)
+
+
+def p9_filling(spark: SparkSession, folder: str) -> DataFrame:
+    """How many containers are used and how full they are."""
+    capacity = _limits(spark, folder)["documents", "text", "container"][0]
+    used = p9_containers(spark, folder).groupBy("container").agg(F.sum("part_size").alias("used"))
+    out = used.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+    least = F.ceil(F.col("n_tokens") / capacity)
+    return out.withColumn("least_containers", least).withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity), 6))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text was cut."""
     return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source").where("cut").select("doc_id")
@@ -103,7 +119,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
-QUERIES = {"p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {
     "p2_found": """
 with f as (
