@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encodings, forms, packing, pieces, tokens, truncation
+from tessella.llm import encodings, forms, leakage, packing, pieces, tokens, truncation
 from tessella.sources.tables import table
 
 
@@ -63,6 +63,27 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("table_name", "record_id", forms.canonical_form("text").alias("form")).dropDuplicates(["table_name", "record_id"])
 
 
+def _split_questions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "oracle_rows").select("id", "split").distinct()
+    return table(spark, folder, "questions").select("id", "suite", "question").distinct().join(rows, "id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training and an evaluation question that ask the same."""
+    pairs = leakage.overlaps(_split_questions(spark, folder), "id", "question", "split")
+    return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+
+
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """For each evaluation split and suite and training suite: overlapping pairs and evaluation questions."""
+    questions = _split_questions(spark, folder)
+    pairs = leakage.overlaps(questions, "id", "question", "split")
+    e = questions.select(F.col("id").alias("eval_id"), F.lower(F.trim(F.regexp_replace("split", r"\s+", ""))).alias("eval_split"), F.col("suite").alias("eval_suite")).distinct()
+    t = questions.select(F.col("id").alias("train_id"), F.col("suite").alias("train_suite")).distinct()
+    counts = pairs.join(e, "eval_id").join(t, "train_id").groupBy("eval_split", "eval_suite", "train_suite")
+    return counts.agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval_questions"))
+
+
 def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:
     conversions = table(spark, folder, "word_conversions")
     noted = conversions.select(
@@ -119,7 +140,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
-QUERIES = {"p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {
     "p2_found": """
 with f as (
