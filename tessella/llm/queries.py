@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encodings, forms, leakage, packing, pieces, tokens, truncation
+from tessella.llm import encodings, forms, leakage, markup, packing, pieces, tokens, truncation
 from tessella.sources.tables import table
 
 
@@ -27,6 +27,21 @@ QUESTIONS = ("questions", "id", "question")
 BLOCKS = ("review_blocks", "block_id", "content.text")
 
 
+CONVERSIONS = ("word_conversions", "id", "markdown_text")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose text holds markup."""
+    f = fields(spark, folder, EXTRACTIONS, CONVERSIONS, CHUNKS)
+    return markup.cleaned(f, ["table_name", "record_id"], "text", only_found=True).distinct()
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of problem 1, clean and as blocks."""
+    f = fields(spark, folder, EXTRACTIONS, CONVERSIONS, CHUNKS)
+    return markup.cleaned(f, ["table_name", "record_id"], "text").dropDuplicates(["table_name", "record_id"])
+
+
 def _limits(spark: SparkSession, folder: str) -> dict[tuple[str, str, str], tuple[int, int, str]]:
     """The rows of ``size_limits``: a handful, one for each field and purpose."""
     rows = table(spark, folder, "size_limits").collect()
@@ -92,7 +107,7 @@ def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("record_id"),
         F.explode("observations.first_nonempty_paragraphs").alias("text"),
     )
-    return fields(spark, folder, ("receipts", "id", "pdf_text_first_800"), ("word_conversions", "id", "markdown_text"), EXTRACTIONS).unionByName(noted)
+    return fields(spark, folder, ("receipts", "id", "pdf_text_first_800"), CONVERSIONS, EXTRACTIONS).unionByName(noted)
 
 
 def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +155,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
-QUERIES = {"p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {
     "p2_found": """
 with f as (
