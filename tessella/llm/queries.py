@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encodings, forms, leakage, markup, packing, pieces, tokens, truncation
+from tessella.llm import encodings, forms, leakage, markup, packing, pieces, scans, tokens, truncation
 from tessella.sources.tables import table
 
 
@@ -78,6 +78,21 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("table_name", "record_id", forms.canonical_form("text").alias("form")).dropDuplicates(["table_name", "record_id"])
 
 
+def _scanned_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return fields(spark, folder, BLOCKS, ("receipts", "id", "first_three_pages_text"), EXTRACTIONS)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose text holds noise of scanning: those the editor changes."""
+    return scans.repaired(_scanned_fields(spark, folder), ["table_name", "record_id"], "text", only_found=True).distinct()
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of problem 4 repaired, with the number of edits of each kind."""
+    rows = scans.repaired(_scanned_fields(spark, folder), ["table_name", "record_id"], "text")
+    return rows.dropDuplicates(["table_name", "record_id"])
+
+
 def _split_questions(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "oracle_rows").select("id", "split").distinct()
     return table(spark, folder, "questions").select("id", "suite", "question").distinct().join(rows, "id")
@@ -155,7 +170,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_counts": p6_counts, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {
     "p2_found": """
 with f as (
