@@ -32,6 +32,13 @@ def retrieval_tokens(text: Column) -> Column:
     return F.concat(words, grams)
 
 
+def retrieval_length(text: Column) -> Column:
+    """The number of retrieval tokens, without making them."""
+    ends = f"^[{BLANKS}]+|[{BLANKS}]+$"
+    inner = F.aggregate(F.split(text, WORD), F.lit(0), lambda n, s: n + F.greatest(F.length(F.regexp_replace(s, ends, "")) - 1, F.lit(0)))
+    return F.regexp_count(text, F.lit(WORD)) + inner
+
+
 def numeral(text: str) -> int | None:
     """A Chinese or Arabic whole number below ten thousand; None for anything else."""
     if text.isascii() and text.isdigit():

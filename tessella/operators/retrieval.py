@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import retrieval_tokens
+from tessella.functions.text import retrieval_length, retrieval_tokens
 from tessella.sources.tables import checkpointed
 
 K1, B, RRF = 1.5, 0.75, 60
@@ -21,26 +21,36 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select("d", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("d", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, text: str, k: int, scope: DataFrame | None = None) -> DataFrame:
-    """``q``, ``d``, ``score``, ``rk``: the k best documents of every query.
+def bm25_scores(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, text: str, scope: DataFrame | None = None) -> DataFrame:
+    """``q``, ``d``, ``score`` of every query and document with a common token.
 
     Statistics are of all documents with a token, also where ``scope`` (d) narrows what may
-    come out. Scores are rounded to six digits before ranking, equal ones ranked by ``d``.
-    Documents without a common token do not come out; null texts match nothing. Only the
-    postings of tokens that some query holds are shuffled.
+    come out. Tokens that no query holds are dropped before anything is counted or shuffled;
+    document lengths are counted without making tokens.
     """
     asked = queries.select(F.col(query_key).alias("q"), F.explode(F.array_distinct(retrieval_tokens(F.col(query_text)))).alias("token"))
-    all_ = postings(docs, key, text)
-    lengths = docs.select(F.size(retrieval_tokens(F.col(text))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    p = all_.join(asked.select("token").distinct(), "token", "left_semi")
+    # The length is counted below the explosion; beside it it would be counted again for every token.
+    tokens = docs.select(F.col(key).alias("d"), retrieval_length(F.col(text)).alias("dl"), retrieval_tokens(F.col(text)).alias("tokens"))
+    tokens = tokens.select("d", "dl", F.explode("tokens").alias("token"))
+    tokens = tokens.join(asked.select("token").distinct(), "token", "left_semi")
+    p = tokens.groupBy("token", "d").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
+    lengths = docs.select(retrieval_length(F.col(text)).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = p.groupBy("token").agg(F.count("*").alias("df"))
     if scope is not None:
         p = p.join(scope, "d", "left_semi")
     # The totals are one row.
     weighted = df.crossJoin(F.broadcast(lengths)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     terms = p.join(weighted, "token").select("token", "d", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
-    scored = asked.join(terms, "token").groupBy("q", "d").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_k(scored, k)
+    return asked.join(terms, "token").groupBy("q", "d").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, text: str, k: int, scope: DataFrame | None = None) -> DataFrame:
+    """``q``, ``d``, ``score``, ``rk``: the k best documents of every query.
+
+    Scores are rounded to six digits before ranking, equal ones ranked by ``d``. Documents
+    without a common token do not come out; null texts match nothing.
+    """
+    return top_k(bm25_scores(queries, docs, query_key, query_text, key, text, scope), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -74,7 +84,7 @@ def parent_child(queries: DataFrame, docs: DataFrame, query_key: str, query_text
 
     parts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("p"), F.col(text).alias("t")).mapInPandas(split, f"p {kind}, i int, t string")
     parts = checkpointed(parts.select(F.struct("p", "i").alias("d"), "t"))
-    found = bm25(queries, parts, query_key, query_text, "d", "t", 1 << 30)
+    found = bm25_scores(queries, parts, query_key, query_text, "d", "t")
     best = found.groupBy("q", F.col("d.p").alias("d")).agg(F.max("score").alias("score"))
     return top_k(best, k)
 
