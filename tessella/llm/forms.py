@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.sources.tables import checkpointed
+
 # Latin letters, each with the Greek and Cyrillic letters drawn like it.
 LOOKALIKES = {
     other: latin
@@ -163,6 +165,7 @@ def lookalikes(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
     """
     raw, form = F.col(text), canonical_form(F.col(text))
     d = df.where(raw.isNotNull() & (raw != "")).select(F.col(group).alias("g"), F.col(key).alias("k"), _hash(raw).alias("r"), _hash(form).alias("f")).distinct()
+    d = checkpointed(d)  # hashes only; the texts are read and folded once
     several = d.groupBy("g", "f").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("g", "f")
     d = d.join(several, ["g", "f"], "left_semi")
     a, b = d.alias("a"), d.alias("b")
