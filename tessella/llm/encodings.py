@@ -80,8 +80,9 @@ class Signs:
         self.odd = re.compile(f"[{_ranges(odd)}]")
         latin = _ranges(sorted(letters | set(range(0x80, 0xC0)) | {0x2C6, 0x2DC, *range(0x2013, 0x203B), 0x20AC, 0x2122}))
         self.pair = re.compile(f"[À-ÿŒ-ž][{latin}]")
-        self.inside = re.compile("[A-Za-z][一-鿿]{1,2}[a-z]|[一-鿿]�")
-        self.lost = re.compile("[�\x80-\x84\x86-\x9f-]")
+        self.inside = re.compile("[A-Za-z][一-鿿]{1,2}[a-z]|[一-鿿]�|锟斤|斤拷")
+        # The last two are replacement characters that were themselves decoded wrongly.
+        self.lost = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]|锟斤|斤拷")
 
     def suspect(self, text: str) -> bool:
         return not text.isascii() and bool(self.odd.search(text) or self.pair.search(text) or self.inside.search(text))
