@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.dates import day
@@ -159,17 +159,23 @@ def shape_self_reference(spark: SparkSession, folder: str) -> DataFrame:
 
 def enforce_valid_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Receipts accepted as records: all checks pass, and the first of each version by time and id."""
-    d = _receipts(spark, folder).where(F.size("errors") == 0)
-    return d.where("n = 1").select("id", "version_id")
+    return _accepted(_receipts(spark, folder)).select("id", "version_id")
 
 
 def enforce_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Receipts rejected, one row for each reason."""
     d = _receipts(spark, folder)
-    late = d.where((F.size("errors") == 0) & (F.col("n") > 1)).select("id", F.lit("version already taken").alias("error"))
+    late = d.where(F.size("errors") == 0).join(_accepted(d).select("id"), "id", "left_anti").select("id", F.lit("version already taken").alias("error"))
     return d.select("id", F.explode("errors").alias("error")).union(late)
 
 
+def _accepted(d: DataFrame) -> DataFrame:
+    """Of the receipts without errors the first of each version, found by an aggregate."""
+    d = d.where(F.size("errors") == 0)
+    first = d.groupBy("version_id").agg(F.min(F.struct("fetched_at", "id")).alias("first"))
+    return d.join(first.select(F.col("first.id").alias("id")), "id", "left_semi")
+
+
 def _receipts(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "receipts").groupBy("id").agg(F.min_by(F.struct("version_id", "http_status", "content_type", "byte_count", "sha256", "fetched_at"), "fetched_at").alias("r")).select("id", "r.*")
     errors = F.array(
@@ -178,8 +184,7 @@ def _receipts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(~F.coalesce(F.col("byte_count") > 0, F.lit(False)), "size"),
         F.when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "sha256"),
     )
-    r = r.withColumn("errors", F.filter(errors, lambda x: x.isNotNull()))
-    return r.withColumn("n", F.row_number().over(Window.partitionBy("version_id", F.size("errors") == 0).orderBy("fetched_at", "id")))
+    return r.withColumn("errors", F.filter(errors, lambda x: x.isNotNull()))
 
 
 _SUB = "with edge(c, p) as (values {}), up as (select distinct c as sub, c as sup, 0 as steps from (select c from edge union select p from edge) t(c) union all select up.sub, e.p, up.steps + 1 from up join edge e on e.c = up.sup)"

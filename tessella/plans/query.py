@@ -262,8 +262,10 @@ class Compiler:
                 pairs = pairs.join(ends, "end", "left_semi")
             if plan.latest:
                 pairs = pairs.join(self._values(to, plan.latest, "end", "d"), "end")
-                newest = Window.partitionBy("key").orderBy(F.desc("d"))
-                pairs = pairs.join(rows, "key", "left_semi").withColumn("r", F.rank().over(newest)).where("r = 1").drop("r", "d")
+                # The newest day of each key from partial aggregates, joined back: ties stay, and no key is sorted in one task.
+                pairs = pairs.join(rows, "key", "left_semi")
+                newest = pairs.groupBy("key").agg(F.max("d").alias("d"))
+                pairs = pairs.join(newest, ["key", "d"], "left_semi").drop("d")
             if plan.aggregate:
                 return self._aggregated(plan, at, rows, to, pairs)
             rows = rows.join(pairs, "key")
