@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.tables import checkpointed
+
 # How a whole text may end, by its last line.
 SENTENCE_END = r"""(?:[。！？!?]|[A-Za-z0-9)\]%"”]\.)["”’』」）)]*$"""
 CUT_MARK = r"(?:…|\.\.\.|�)$"
@@ -136,6 +138,7 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("s"), F.md5(t.cast("binary")).alias("h"),
         F.when(blank, "blank").otherwise(ending(t)).alias("kind"), F.length(core).alias("c"), F.octet_length(core).alias("b"),
     )
+    rows = checkpointed(rows)  # a few short columns; the texts are read once
     distinct = rows.where("kind <> 'blank' and c > 0").groupBy("s", "h").agg(F.first("kind").alias("kind"), F.first("c").alias("c"), F.first("b").alias("b"))
     hist = distinct.select("s", "kind", F.explode(F.create_map(F.lit("characters"), "c", F.lit("bytes"), "b")).alias("unit", "length"))
     hist = hist.groupBy("s", "unit", "length", "kind").agg(F.count("*").alias("n"))
