@@ -215,6 +215,7 @@ n as (select *, row_number() over (partition by version_id, len(errors) = 0 orde
 
 SQL: dict[str, str] = {
     "subclass_closure": f"{_REC} select sub, sup, min(steps)::int as steps from up group by 1, 2",
+    "subclass_shortest_chain": f"with recursive edge(c, p) as (values {_EDGES}), up as (select c as sub, p as sup, c || ' > ' || p as chain, 1 as steps from edge union all select up.sub, e.p, up.chain || ' > ' || e.p, up.steps + 1 from up join edge e on e.c = up.sup) select sub, sup, arg_min(chain, (steps, chain)) as chain from up group by 1, 2",
     "verify_matrix": f"{_DIS}, c as (select distinct sub as x from up), m as (select a.x as s, b.x as o, exists (select 1 from up where sub = a.x and sup = b.x) as u, exists (select 1 from up where sub = b.x and sup = a.x) as d, exists (select 1 from dis where dis.a = a.x and dis.b = b.x) as j from c a, c b) select s as subject, 'subclass_of' as relation, o as object, case when u then 'ENTAILED' when j then 'CONTRADICTED' else 'UNKNOWN' end as verdict from m union all select s, 'disjoint_with', o, case when j then 'ENTAILED' when u or d then 'CONTRADICTED' else 'UNKNOWN' end from m",
     "disjoint_pairs": f"{_DIS} select a, b from dis where a < b",
     "inverse_materialise": _INVERSE,
