@@ -20,12 +20,13 @@ def plain_name(name: Column) -> Column:
 
 def scope_union(spark: SparkSession, folder: str) -> DataFrame:
     """Nations that have to do with a part: where its suppliers are, and where those who ordered it are."""
-    lines = V.edges(spark, folder, "lineForPart").select(F.col("s").alias("line"), F.col("o").alias("part")).where("part <= 20").distinct()
-    supplier = V.edges(spark, folder, "lineFrom").select(F.col("s").alias("line"), F.col("o").alias("x")).distinct()
-    one = lines.join(supplier, "line").join(V.edges(spark, folder, "suppliedFrom").select(F.col("s").alias("x"), F.col("o").alias("nation")), "x").select("part", "nation")
-    order = V.edges(spark, folder, "lineOf").select(F.col("s").alias("line"), F.col("o").alias("x")).distinct()
+    # A line's key holds its part, supplier and order, so these are read side by side instead of joined by the key.
+    lines = table(spark, folder, "lineitem").where("l_partkey is not null")
+    supplier = lines.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("x")).distinct()
+    one = supplier.join(V.edges(spark, folder, "suppliedFrom").select(F.col("s").alias("x"), F.col("o").alias("nation")), "x").select("part", "nation")
+    order = lines.select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("x")).distinct()
     buyer = V.edges(spark, folder, "placedBy").select(F.col("s").alias("x"), F.col("o").alias("c"))
-    two = lines.join(order, "line").join(buyer, "x").join(V.edges(spark, folder, "locatedIn").select(F.col("s").alias("c"), F.col("o").alias("nation")), "c").select("part", "nation")
+    two = order.join(buyer, "x").join(V.edges(spark, folder, "locatedIn").select(F.col("s").alias("c"), F.col("o").alias("nation")), "c").select("part", "nation")
     return reduce(lambda a, b: a.union(b), [one, two]).distinct()
 
 
