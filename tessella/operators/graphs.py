@@ -114,11 +114,15 @@ def schema_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
 
 # -- neighbourhoods ----------------------------------------------------------------------
 def neighbourhood(triples: DataFrame, focus: str, hops: int = 1) -> DataFrame:
-    """The triples at most ``hops`` steps around ``focus``, in both directions."""
+    """The triples at most ``hops`` steps around ``focus``, in both directions.
+
+    Each step but the last is checkpointed, so that the next does not search all triples for it again.
+    """
     reached = triples.sparkSession.createDataFrame([(focus,)], "node string")
     found = None
-    for _ in range(hops):
+    for hop in range(hops):
         near = triples.join(reached.withColumnRenamed("node", "s"), "s", "left_semi").unionByName(triples.join(reached.withColumnRenamed("node", "o"), "o", "left_semi")).distinct()
+        near = checkpointed(near) if hop + 1 < hops else near
         found = near if found is None else found.unionByName(near).distinct()
         reached = near.select(F.col("s").alias("node")).union(near.select("o")).union(reached).distinct()
     return found

@@ -63,8 +63,8 @@ def neighbourhood_1hop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def neighbourhood_2hop(spark: SparkSession, folder: str) -> DataFrame:
-    """Triples two steps around one supplier, without line items."""
-    return graphs.neighbourhood(graphs.object_triples(V, spark, folder, ["suppliedFrom", "locatedIn", "inRegion"]), "supplier/5", 2)
+    """Triples two steps around one supplier."""
+    return graphs.neighbourhood(graphs.object_triples(V, spark, folder), "supplier/5", 2)
 
 
 def anchor_layers(spark: SparkSession, folder: str) -> DataFrame:
