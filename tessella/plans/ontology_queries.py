@@ -54,7 +54,7 @@ def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def type_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Why each record is a Record."""
-    return graphs.type_evidence(V, spark, folder, "Order")
+    return graphs.type_evidence(V, spark, folder, "Record")
 
 
 def neighbourhood_1hop(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,3 +48,12 @@ def test_two_steps_reach_lines_orders_and_parts(spark, folder):
     got = [tuple(r) for r in ontology_queries.neighbourhood_2hop(spark, folder).select("s", "p", "o").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {"lineFrom", "lineOf", "lineForPart"} <= {p for _, p, _ in got}
+
+
+def test_every_record_has_its_evidence(spark, folder):
+    kinds = {"O": "OpenOrder", "F": "FilledOrder", "P": "PartialOrder", "view": "ViewEvent", "signup": "SignupEvent", "error": "ErrorEvent", "click": "ClickEvent", "purchase": "PurchaseEvent"}
+    want = {(f"lineitem/{k}", "LineItem", "LineItem > Record", "inferred") for k in lines(folder)[0]}
+    for name, key, column, parent in [("orders", "o_orderkey", "o_orderstatus", "Order"), ("events", "event_id", "event_type", "Event")]:
+        want |= {(f"{name}/{k}", kinds[x], f"{kinds[x]} > {parent} > Record", "inferred") for k, x in rows(folder, name, key, column).itertuples(index=False)}
+    got = [tuple(r) for r in ontology_queries.type_evidence(spark, folder).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
