@@ -9,6 +9,7 @@ position on the page: repetition, what stands before and after, numbers.
 Both are trained on the corpus itself: from a bounded sample, texts without any sign of
 noise are taken as clean, copies of them are put through the noise model (wrapping,
 hyphenation, furniture, misreading), and the operations that undo it are the labels.
+The Latin words that guard the edits are counted over all texts that look clean.
 Every text is then edited whole. Places alike in all features share one remembered answer.
 """
 
@@ -29,6 +30,8 @@ from tessella.llm.forms import canonical
 
 #: Texts sampled for training (by hash of the text), passes over them, and the margin of a prediction over keeping.
 SAMPLE, EPOCHS, MARGIN = 1_500, 3, 0.0
+#: A word is a misreading of one that this many times as many texts hold.
+OUTNUMBERED = 50
 
 # Characters and what a scanner reads in their place.
 HAN_MISREAD = dict(zip("金基人额值日管期资于投未户规申券", "全墓入颔植曰菅朝贸干役末尸视甲卷"))
@@ -210,6 +213,26 @@ def wrapped(line: str, rng: random.Random, width: int) -> list[tuple[str, str]]:
     return [*out, (s + (" " if rng.random() < 0.05 else ""), "keep")]
 
 
+def latin_words(text: str) -> set[str]:
+    """The Latin words of a text, in lower case."""
+    return {w.lower() for w in re.findall("[A-Za-z]{2,}", text)}
+
+
+def floor(clean: list[str]) -> int:
+    """How many clean-looking texts must hold a word: one where there are few, else three."""
+    return min(3, 1 + len(clean) // 100)
+
+
+def vocabulary(seen: dict[str, int], least: int) -> set[str]:
+    """Of words with the numbers of clean-looking texts that hold them, those that are no misreadings.
+
+    A misread word may stand in a text that looks clean; in ``least`` it is a word, unless
+    it is rare beside the word that undoing one misreading in it gives.
+    """
+    undone = lambda w: (w[: m.start()] + x.lower() + w[m.end() :] for m in _WORD_SPOT.finditer(w) for x in BACK[m[0]])
+    return {w for w, n in seen.items() if n >= least and not any(seen.get(x, 0) >= OUTNUMBERED * n for x in undone(w))}
+
+
 class Editor:
     """The two perceptrons; trains from clean texts and edits texts."""
 
@@ -222,18 +245,20 @@ class Editor:
     JOIN_OPS = ["keep", "join", "blank", "unhyphen"]
 
     @classmethod
-    def train(cls, texts: list[str], epochs: int = EPOCHS, seed: int = 7) -> Editor:
+    def train(cls, texts: list[str], epochs: int = EPOCHS, seed: int = 7, words: set[str] | None = None) -> Editor:
+        """An editor from clean texts; ``words`` are those of the whole corpus, else those of ``texts``."""
         rng = random.Random(seed)
         chars, joins, lines_ = [], [], []
         for t in texts:
             cls._clean_examples(t, chars, joins, lines_)
             cls._noisy_examples(t, rng, chars, joins, lines_)
-        seen: dict[str, int] = defaultdict(int)
-        for t in texts:
-            for w in {w.lower() for w in re.findall("[A-Za-z]{2,}", t)}:
-                seen[w] += 1
-        # A misread word may stand in a text that looks clean; in several it is a word.
-        made = cls(Perceptron(), Perceptron(), Perceptron(), {w for w, n in seen.items() if n >= min(3, 1 + len(texts) // 100)})
+        if words is None:
+            seen: dict[str, int] = defaultdict(int)
+            for t in texts:
+                for w in latin_words(t):
+                    seen[w] += 1
+            words = vocabulary(seen, floor(texts))
+        made = cls(Perceptron(), Perceptron(), Perceptron(), words)
         made.chars.fit(chars, epochs, rng)
         made.joins.fit(joins, epochs, rng)
         made.furniture.fit(lines_, epochs, rng)
@@ -407,14 +432,30 @@ def _title(t: str, rng: random.Random) -> str:
     return rng.choice(found).upper() if found and found[0].isascii() else rng.choice(found) if found else "年度报告"
 
 
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """``w``, ``n``: the Latin words of all clean-looking texts and how many different texts hold each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(w, h) for t, h in dict(zip(batch["t"], batch["h"])).items() if looks_clean(t) for w in latin_words(t)]
+            yield pd.DataFrame(found, columns=["w", "h"]).astype({"h": "int64"})
+
+    t = F.col(text)
+    rows = df.where(t.rlike("[A-Za-z]{2}")).select(t.alias("t"), F.xxhash64(t).alias("h"))
+    return rows.mapInPandas(run, "w string, h long").distinct().groupBy("w").agg(F.count("*").alias("n"))
+
+
 def trained(df: DataFrame, text: str, sample: int = SAMPLE) -> Editor:
-    """An editor trained on at most ``sample`` texts of ``df``, the first by hash."""
+    """An editor trained on at most ``sample`` different texts of ``df``, the first by hash, and on all words of clean-looking texts."""
     t = F.col(text)
     rows = df.where(t.isNotNull() & (F.length(t) >= 40)).select(t.alias("t"), F.xxhash64(t).alias("h"))
     # Only the share of hashes that holds about two samples is looked at, so that no task sends the driver more.
-    share = min(1.0, 2 * sample / max(1, df.count()))
-    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < F.lit(int(1_000_000 * share) + 1)).orderBy("h").limit(sample).collect()
-    return Editor.train([r.t for r in rows if looks_clean(r.t)])
+    share = min(1.0, 2 * sample / max(1, rows.agg(F.approx_count_distinct("h")).first()[0]))
+    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < F.lit(int(1_000_000 * share) + 1)).dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
+    clean = [r.t for r in rows if looks_clean(r.t)]
+    least = floor(clean)
+    words = vocabulary({r.w: r.n for r in word_counts(df, text).where(F.col("n") >= least).collect()}, least)
+    return Editor.train(clean, words=words)
 
 
 def repaired(df: DataFrame, keys: list[str], text: str, only_found: bool = False, sample: int = SAMPLE) -> DataFrame:
@@ -424,7 +465,8 @@ def repaired(df: DataFrame, keys: list[str], text: str, only_found: bool = False
     (in the one form of problem 3 where they hold unusual forms); repeated rows are kept;
     other columns are ignored; an empty table trains an editor that keeps everything.
     With ``only_found`` only ``keys`` of the rows with an edit are returned. The editor is
-    some megabytes, bounded by the sample; editing is one narrow pass.
+    some megabytes, its weights bounded by the sample and its words by the corpus's
+    vocabulary; editing is one narrow pass.
     """
     editor = trained(df, text, sample)
     shared = df.sparkSession.sparkContext.broadcast((editor.chars.weights, editor.joins.weights, editor.furniture.weights, editor.words))

@@ -96,3 +96,14 @@ def test_cut_texts_and_their_copies(spark):
     want = {str(i) for i, t in enumerate(full) if len(t) > 400 and t[399] != "。"}
     assert want <= cut and not {"w1", "w2", "w3", "w4"} & cut and {"copy", "m"} <= cut
     assert all(len(full[int(k)]) >= 400 for k in cut if k.isdigit())
+
+
+def test_editor_knows_words_outside_its_sample(spark):
+    texts = ["基金管理人应当于每个交易日披露净值公告，不得延期，并保存记录以备账户持有人查阅，编号为%d。" % i for i in range(60)]
+    texts += [f"The figures of this quarter stand in annex {i} and were confirmed by the trustee." for i in range(200)]
+    texts += [f"The figurcs of this quarter stand in annex {i} and were confirmed by the trustee." for i in range(3)]
+    df = frame(spark, [(str(i), t) for i, t in enumerate(texts)])
+    words = scans.trained(df, "t", sample=10).words
+    assert {"figures", "quarter", "trustee"} <= words and "figurcs" not in words
+    counts = {r.w: r.n for r in scans.word_counts(df.unionByName(df), "t").collect()}
+    assert counts["figures"] == 200 and counts["quarter"] == 203
