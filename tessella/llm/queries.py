@@ -20,6 +20,16 @@ def fields(spark: SparkSession, folder: str, *sources: tuple[str, str, str]) ->
     return out
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with one row for each key, the rows of a repeated key being alike; a null key is no key.
+
+    Keys are counted first, without the texts. Only the few rows of keys that occur more
+    than once are brought together.
+    """
+    again = df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1").select(*keys)
+    return df.join(again, list(keys), "left_anti").unionByName(df.join(again, list(keys), "left_semi").dropDuplicates(list(keys)))
+
+
 EXTRACTIONS = ("document_extractions", "version_id", "normalized_text")
 CHUNKS = ("rag_chunks", "chunk_id", "text")
 SECTIONS = ("rag_chunks", "chunk_id", "section")
@@ -38,8 +48,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of problem 1, clean and as blocks."""
-    f = fields(spark, folder, EXTRACTIONS, CONVERSIONS, CHUNKS)
-    return markup.cleaned(f, ["table_name", "record_id"], "text").dropDuplicates(["table_name", "record_id"])
+    f = once(fields(spark, folder, EXTRACTIONS, CONVERSIONS, CHUNKS), "table_name", "record_id")
+    return markup.cleaned(f, ["table_name", "record_id"], "text")
 
 
 def _limits(spark: SparkSession, folder: str) -> dict[tuple[str, str, str], tuple[int, int, str]]:
@@ -48,18 +58,19 @@ def _limits(spark: SparkSession, folder: str) -> dict[tuple[str, str, str], tupl
     return {(r.table_name, r.field_name, r.purpose): (r.max_size, r.overlap, r.unit) for r in rows}
 
 
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+def _pieces(spark: SparkSession, folder: str, single: bool = False) -> DataFrame:
     limits, out = _limits(spark, folder), None
     for source in (EXTRACTIONS, CHUNKS, SECTIONS):
         size, overlap, unit = limits[source[0], source[2], "piece"]
-        one = pieces.split(fields(spark, folder, source), ["table_name", "field_name", "record_id"], "text", size, overlap, unit)
+        f = fields(spark, folder, source)
+        one = pieces.split(once(f, "record_id") if single else f, ["table_name", "field_name", "record_id"], "text", size, overlap, unit)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every extracted text, chunk text and chunk section."""
-    return _pieces(spark, folder).dropDuplicates(["table_name", "field_name", "record_id", "piece_no"])
+    return _pieces(spark, folder, single=True)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,8 +85,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of problem 3 in its one form."""
-    f = fields(spark, folder, QUESTIONS, EXTRACTIONS, BLOCKS)
-    return f.select("table_name", "record_id", forms.canonical_form("text").alias("form")).dropDuplicates(["table_name", "record_id"])
+    f = once(fields(spark, folder, QUESTIONS, EXTRACTIONS, BLOCKS), "table_name", "record_id")
+    return f.select("table_name", "record_id", forms.canonical_form("text").alias("form"))
 
 
 def _scanned_fields(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,8 +100,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of problem 4 repaired, with the number of edits of each kind."""
-    rows = scans.repaired(_scanned_fields(spark, folder), ["table_name", "record_id"], "text")
-    return rows.dropDuplicates(["table_name", "record_id"])
+    return scans.repaired(once(_scanned_fields(spark, folder), "table_name", "record_id"), ["table_name", "record_id"], "text")
 
 
 def _split_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +118,7 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     """For each evaluation split and suite and training suite: overlapping pairs and evaluation questions."""
     questions = _split_questions(spark, folder)
     pairs = leakage.overlaps(questions, "id", "question", "split")
-    e = questions.select(F.col("id").alias("eval_id"), F.lower(F.trim(F.regexp_replace("split", r"\s+", ""))).alias("eval_split"), F.col("suite").alias("eval_suite")).distinct()
+    e = questions.select(F.col("id").alias("eval_id"), leakage.side_of(F.col("split")).alias("eval_split"), F.col("suite").alias("eval_suite")).distinct()
     t = questions.select(F.col("id").alias("train_id"), F.col("suite").alias("train_suite")).distinct()
     counts = pairs.join(e, "eval_id").join(t, "train_id").groupBy("eval_split", "eval_suite", "train_suite")
     return counts.agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval_questions"))
