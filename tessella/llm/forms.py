@@ -31,8 +31,8 @@ LOOKALIKES = {
     other: latin
     for latin, others in {
         "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "G": "Ԍ", "H": "ΗН", "I": "ΙІӀ", "J": "ͿЈ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "Q": "Ԛ",
-        "S": "Ѕ", "T": "ΤТ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "k": "κ",
-        "o": "оοσ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υ", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уγ", "\u03bc": "\u00b5",
+        "S": "Ѕ", "T": "ΤТ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ",
+        "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "ѵ", "w": "ԝ", "x": "х", "y": "у", "\u03bc": "\u00b5",
     }.items()
     for other in others
 }
@@ -152,7 +152,25 @@ def canonical_form(text: pd.Series) -> pd.Series:
     return text.map(canonical)
 
 
-def lookalikes(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
+def form_members(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
+    """``g``, ``k``, ``r``, ``f``: every record's group, key, hash of its text and hash of its form.
+
+    Records with one ``f`` look the same, those with one ``r`` are the same. Null and empty
+    texts are no record's text; a key that occurs twice with one text is one record. Only
+    hashes are kept; the texts are read and folded once.
+    """
+    raw, form = F.col(text), canonical_form(F.col(text))
+    d = df.where(raw.isNotNull() & (raw != "")).select(F.col(group).alias("g"), F.col(key).alias("k"), _hash(raw).alias("r"), _hash(form).alias("f")).distinct()
+    return checkpointed(d)
+
+
+def form_classes(members: DataFrame) -> DataFrame:
+    """``g``, ``f``, ``n_spellings``, ``n_records`` of every form that stands in several spellings: one row a class, no pairs."""
+    spelled = members.groupBy("g", "f", "r").agg(F.count("*").alias("n"))
+    return spelled.groupBy("g", "f").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_records")).where("n_spellings > 1")
+
+
+def lookalikes(df: DataFrame, key: str, text: str, group: str, salted: int = 1000) -> DataFrame:
     """Pairs of records of one ``group`` that look the same but differ in characters.
 
     Returned are ``group``, ``id_a`` < ``id_b``. Defined cases: null texts are no record's
@@ -162,18 +180,16 @@ def lookalikes(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
     Texts meet by a 128-bit hash of their form. First each form is reduced to its number
     of distinct raw texts, with partial aggregates; only forms with several take part in
     the join, so a large group of exact copies costs one aggregate and never meets itself.
+    Where a form has more than ``salted`` records, one side of the pairs is dealt over salts,
+    so that the pairs of a large class, which the result demands, are written by many tasks.
     """
-    raw, form = F.col(text), canonical_form(F.col(text))
-    d = df.where(raw.isNotNull() & (raw != "")).select(F.col(group).alias("g"), F.col(key).alias("k"), _hash(raw).alias("r"), _hash(form).alias("f")).distinct()
-    d = checkpointed(d)  # hashes only; the texts are read and folded once
-    several = d.groupBy("g", "f").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("g", "f")
-    d = d.join(several, ["g", "f"], "left_semi")
-    a, b = d.alias("a"), d.alias("b")
-    return (
-        a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.f") == F.col("b.f")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.r") != F.col("b.r")))
-        .select(F.col("a.g").alias(group), F.col("a.k").alias("id_a"), F.col("b.k").alias("id_b"))
-        .distinct()
-    )
+    members = form_members(df, key, text, group)
+    classes = checkpointed(form_classes(members).select("g", "f", F.ceil(F.col("n_records") / salted).cast("int").alias("salts")))
+    d = members.join(classes, ["g", "f"])
+    a = d.select(F.col("g").alias("ag"), F.col("f").alias("af"), F.col("k").alias("ak"), F.col("r").alias("ar"), F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("a_salt"))
+    b = d.select(F.col("g").alias("bg"), F.col("f").alias("bf"), F.col("k").alias("bk"), F.col("r").alias("br"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("b_salt"))
+    met = a.join(b, (F.col("ag") == F.col("bg")) & (F.col("af") == F.col("bf")) & (F.col("a_salt") == F.col("b_salt")) & (F.col("ak") < F.col("bk")) & (F.col("ar") != F.col("br")))
+    return met.select(F.col("ag").alias(group), F.col("ak").alias("id_a"), F.col("bk").alias("id_b")).distinct()
 
 
 def _hash(c: Column) -> Column:
