@@ -6,7 +6,8 @@ maximum likelihood (EM). A limit is a length at which far more texts end than th
 expects and many of these break off. For a text at a limit the censoring posterior - how
 many texts at that length were cut, against how many would end there anyway - is combined
 with the evidence of its ending; for a text elsewhere the source's rate of broken
-transfers is. A copy of a cut text is cut wherever it stands.
+transfers is. How much an ending says is fitted as well, from all texts, cut or whole being
+what is not seen (EM). A copy of a cut text is cut wherever it stands.
 """
 
 from __future__ import annotations
@@ -28,19 +29,22 @@ LINK = r"(?:^|\s)[A-Za-z]+://\S+$"
 DATE = r"^(?:\d{4}年\d{1,2}月\d{1,2}日|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2} [A-Z][a-z]+ \d{4}|[A-Z][a-z]+ \d{1,2}, \d{4})$"
 TOTAL = r"^(?:合计|合計|总计|總計|小计|小計|Total|Sum)[ :：\t]+\S*\s?\S*\d[\d,.]*\s?(?:[万萬亿億]?[元份]|%)?$"
 ROW = r"^\S+(?: {2,}|\t+)[\d.,]+%?$|^\S+(?: {2,}|\t+)\S+$|^\|.*\|$"
-CODE = r"^(?:SELECT|E?LECT|INSERT|UPDATE|DELETE|CREATE)\b.*(?:'[^']*'|;|\))$|[;{}]$"
+CODE = r"^(?:SELECT|INSERT|UPDATE|DELETE|CREATE)\b.*(?:'[^']*'|;|\))$|\b(?:FROM|WHERE|VALUES|SET)\b.*(?:'[^']*'|;|\))$|[;{}]$"
 FORMULA = r"^[A-Za-z]\w* = .*[\w)]$"
 LIST = r"^(?:附件|附錄|附录|Annex(?:es)?|Attachments?)\s*[:：].*\d\s*[.．、]\s*\S+"
 HEADING = r"^(?:第.{1,4}[章节節条條]|[一二三四五六七八九十百]+、|Chapter|Part|Section|#+)\s?\S*\s?\S+(?: \S+){0,5}$"
 TITLE = r"^.{2,60}(?:简报|公告|说明|问答|报告|简報|簡報|說明|問答|報告|通知|办法|[Nn]otice|[Rr]eport|Q&A|[Mm]emo)$"
 CLOSING = r"^(?:Regards|Kind regards|Best regards|Sincerely|Yours .*|此致|敬礼|敬禮|特此.*|谢谢|謝謝|Thank you),?\.?$"
 
-#: Log-likelihood ratios of an ending, cut against whole: a cut falls on a sentence's or line's end by chance only.
-EVIDENCE = {"marked": 9.0, "broken": 7.0, "sentence": -4.0, "structure": -5.0}
+KINDS = ("marked", "broken", "sentence", "structure")
+#: Share of the kinds of ending among cut and among whole texts, before any text is seen, and the weight of these shares in texts: what the fit starts from.
+CUT_SHARES, WHOLE_SHARES, WEIGHT = (0.25, 0.70, 0.03, 0.02), (0.00005, 0.001, 0.75, 0.25), 50.0
 #: Bytes that a cut at a byte limit may leave unused, so as not to split a character.
 SLACK = {"characters": 1, "bytes": 4}
-#: A limit needs this many broken endings, this many times the texts the fit expects, and this share of broken ones.
-LEAST_BROKEN, TIMES, BROKEN_SHARE = 3, 4.0, 0.3
+#: A limit needs this share of broken endings and more texts than chance gives at one of all lengths with this probability.
+BROKEN_SHARE, CHANCE = 0.3, 0.01
+#: White space and other blanks at the ends of texts and lines.
+BLANKS = " \t\f\v\u00a0\u1680\u2002\u2003\u2009\u3000\ufeff"
 
 
 def _core(text: Column) -> Column:
@@ -50,14 +54,15 @@ def _core(text: Column) -> Column:
 
 def ending(text: Column) -> Column:
     """The kind of ending of a text that is not blank: marked, broken, sentence or structure."""
-    tail = F.rtrim(F.regexp_replace(F.right(text, F.lit(2000)), r"[\s　]+$", ""))
-    lines = F.split(tail, r"[\r\n]+")
-    last = F.trim(F.element_at(lines, -1))
-    before = F.when(F.size(lines) > 1, F.trim(F.element_at(lines, -2))).otherwise("")
+    whole = F.rtrim(text, F.lit(BLANKS + "\r\n"))
+    last = F.substring_index(F.substring_index(whole, "\n", -1), "\r", -1)
+    above = F.rtrim(F.left(whole, F.length(whole) - F.length(last)), F.lit(BLANKS + "\r\n"))
+    before = F.trim(F.substring_index(F.substring_index(above, "\n", -1), "\r", -1), F.lit(BLANKS))
+    last = F.trim(last, F.lit(BLANKS))
     short = F.length(last) <= 60
     structure = (
         last.rlike(REMARK) | last.rlike(LINK) | last.rlike(DATE) | last.rlike(TOTAL) | last.rlike(ROW) | last.rlike(CODE)
-        | last.rlike(FORMULA) | last.rlike(LIST) | (short & last.rlike(HEADING)) | ((F.size(lines) == 1) & last.rlike(TITLE)) | (short & before.rlike(CLOSING)) | last.rlike(CLOSING)
+        | last.rlike(FORMULA) | last.rlike(LIST) | (short & last.rlike(HEADING)) | ((above == "") & last.rlike(TITLE)) | (short & before.rlike(CLOSING)) | last.rlike(CLOSING)
     )
     return (
         F.when(last.rlike(CUT_MARK) & ~last.rlike("……$"), "marked").when(last.rlike(SENTENCE_END), "sentence").when(structure, "structure").otherwise("broken")
@@ -100,22 +105,27 @@ def source_limits(hist: pd.DataFrame) -> pd.DataFrame:
         sums, bads = np.concatenate(([0], np.cumsum(total))), np.concatenate(([0], np.cumsum(bad)))
         ends = np.arange(1, len(lengths) + 1)
         in_window, bad_in_window = sums[ends] - sums[lows], bads[ends] - bads[lows]
-        candidates = [i for i in np.argsort(-bad_in_window, kind="stable") if bad_in_window[i] >= LEAST_BROKEN and bad_in_window[i] >= BROKEN_SHARE * in_window[i]]
-        chosen: list[int] = []
-        for i in candidates:
-            if all(lengths[i] <= lengths[j] - SLACK[unit] or lengths[i] > lengths[j] + SLACK[unit] - 1 for j in chosen):
-                chosen.append(i)
-        censored = np.zeros(len(lengths), bool)
-        for i in chosen:
-            censored[lows[i] : i + 1] = True
-        mu, sigma = fit_lognormal(lengths, total, censored)
-        for i in chosen:
-            density = math.exp(-0.5 * ((math.log(lengths[i]) - mu) / sigma) ** 2) / (lengths[i] * sigma * math.sqrt(2 * math.pi))
-            expected = max(0.02, total.sum() * density * SLACK[unit])
-            if in_window[i] >= TIMES * expected:
-                odds = max(in_window[i] - expected, bad_in_window[i]) / expected
-                out.append((unit, int(lengths[i]) - SLACK[unit], int(lengths[i]), math.log(odds)))
-                atlimit = max(atlimit, bad_in_window[i])
+        candidates = [i for i in np.argsort(-bad_in_window, kind="stable") if bad_in_window[i] > 0 and bad_in_window[i] >= BROKEN_SHARE * in_window[i] and in_window[i] > 1]
+        mu, sigma = fit_lognormal(lengths, total, np.zeros(len(lengths), bool))
+        # Windows that stand out of the first fit are taken as censored for the second, by which they are judged.
+        for last in (False, True):
+            chosen: list[tuple[int, float]] = []
+            for i in candidates:
+                density = math.exp(-0.5 * ((math.log(lengths[i]) - mu) / sigma) ** 2) / (lengths[i] * sigma * math.sqrt(2 * math.pi))
+                expected = max(0.02, total.sum() * density * SLACK[unit])
+                n = in_window[i]
+                stands_out = n > expected and n * math.log(n / expected) - (n - expected) > math.log(len(lengths) / CHANCE)
+                if stands_out and all(lengths[i] <= lengths[j] - SLACK[unit] or lengths[i] > lengths[j] + SLACK[unit] - 1 for j, _ in chosen):
+                    chosen.append((i, expected))
+            if not last:
+                censored = np.zeros(len(lengths), bool)
+                for i, _ in chosen:
+                    censored[lows[i] : i + 1] = True
+                mu, sigma = fit_lognormal(lengths, total, censored)
+        for i, expected in chosen:
+            odds = max(in_window[i] - expected, bad_in_window[i]) / expected
+            out.append((unit, int(lengths[i]) - SLACK[unit], int(lengths[i]), math.log(odds)))
+            atlimit = max(atlimit, bad_in_window[i])
     one = hist[hist.unit == "characters"]
     total, bad = one.n.sum(), one.n[one.kind.isin(["broken", "marked"])].sum()
     rate = (max(0.0, bad - atlimit) + 0.5) / (total + 20)
@@ -123,6 +133,27 @@ def source_limits(hist: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["unit", "low", "high", "log_odds"])
 
 
+def ending_evidence(table: list[tuple[float, str, int]], rounds: int = 50) -> dict[str, float]:
+    """Log-likelihood ratios of the kinds of ending, cut against whole, from counts of texts by prior log odds and kind (EM).
+
+    Every text is cut or whole; which it is, its prior odds and its ending say together.
+    The shares of the kinds in both are those of greatest likelihood, ``WEIGHT`` texts of
+    the first shares added. A sentence's end never speaks for a cut, nor a mark against one.
+    """
+    cut, whole = dict(zip(KINDS, CUT_SHARES)), dict(zip(KINDS, WHOLE_SHARES))
+    first = dict(cut), dict(whole)
+    for _ in range(rounds):
+        n_cut, n_whole = ({k: WEIGHT * v for k, v in x.items()} for x in first)
+        for odds, kind, n in table:
+            z = odds + math.log(cut[kind] / whole[kind])
+            p = 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+            n_cut[kind] += n * p
+            n_whole[kind] += n * (1 - p)
+        cut, whole = ({k: v / sum(x.values()) for k, v in x.items()} for x in (n_cut, n_whole))
+    found = {k: math.log(cut[k] / whole[k]) for k in KINDS}
+    return {k: min(v, -1.0) if k in ("sentence", "structure") else max(v, 1.0) for k, v in found.items()}
+
+
 def cut_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Every row's ``key``, ``source``, ``kind`` of ending, log odds ``score`` of a cut and ``cut``.
 
@@ -153,10 +184,12 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         hit = (x.unit == "anywhere") | ((x.unit == "characters") & (F.col("c") > x.low) & (F.col("c") <= x.high)) | ((x.unit == "bytes") & (F.col("b") > x.low) & (F.col("b") <= x.high))
         return F.when(hit, x.log_odds)
 
-    evidence = F.create_map(*[F.lit(v) for pair in EVIDENCE.items() for v in pair])
-    scored = rows.join(limits, "s", "left").withColumn(
-        "own", F.when(F.col("kind") != "blank", F.array_max(F.transform("limits", odds)) + evidence[F.col("kind")])
-    )
+    prior = F.array_max(F.transform("limits", odds))
+    # Prior odds in quarters between -20 and 20: a table of at most 161 odds and four kinds, whatever the corpus.
+    rounded = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.round(prior * 4) / 4))
+    seen = distinct.join(limits, "s").groupBy(rounded.alias("odds"), "kind").agg(F.count("*").alias("n")).collect()
+    evidence = F.create_map(*[F.lit(v) for pair in ending_evidence([tuple(r) for r in seen]).items() for v in pair])
+    scored = rows.join(limits, "s", "left").withColumn("own", F.when(F.col("kind") != "blank", prior + evidence[F.col("kind")]))
     best = scored.where("own is not null").groupBy("h").agg(F.max("own").alias("score"))
     scored = scored.join(best, "h", "left")
     return scored.select(
