@@ -3,10 +3,11 @@
 All four notations are read into one tree of elements, tolerant of unclosed, crossed and
 broken marks. For every node the composite text density - link-adjusted characters per
 tag - is computed, the densities of the children are summed, and the subtree of greatest
-sum is the main content; the least density on its path to the body is the threshold below
-which link-laden nodes beside it (menus, footers) are left out. What remains is given out
-as blocks that say what they are: heading, paragraph, list item, table row, code, formula,
-quote, note.
+sum among those a page is laid out with is the main content; the least density on its path
+to the body is the threshold below which layout elements beside it (menus, side columns,
+footers) are left out. What remains is given out as blocks that say what they are: heading,
+paragraph, list item, table row, code, formula, quote, note. A text holds markup if the
+blocks say it in other characters: marks were removed, converted or their content left out.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _ENTITY = r"&(?:[A-Za-z]{2,8}|#\d{2,6}|#[xX][0-9A-Fa-f]{2,5});"
 # Signs within lines, each alternative beginning with its own letter, and signs at the start of lines.
 _SIGN = re.compile(
     rf"<(?:(?i:{_TAG[1:]})|!--|!\[|!(?i:doctype))|-->|{_ENTITY}|`|\*\*|__(?!_)|~~|\](?:\([^()\s]*\)|\])|!\[|\[(?:\^\w+\]|\[)|\{{\{{|\}}\}}|''|\\(?:[A-Za-z]+|[%&_#${{}}()\[\]\\,;!])|\$\$"
-    r"|\*(?! )[^*\n]{1,80}(?<! )\*"
+    r"|\*(?! )[^*\n]+(?<! )\*"
 )
 _LINE = re.compile(
     r"\n(?:[ \t]*#{1,6} +\S|(?:={3,}|-{3,})[ \t]*\r?(?=\n)|(?:\*{3,}|_{3,})[ \t]*\r?(?=\n)|[ \t]*[-+*] +(?!\d+ ?-[ \t]*\r?\n)\S|[ \t]*>[ \t]?\S|[ \t]*\|.*\|[ \t]*\r?(?=\n)"
@@ -67,49 +68,63 @@ class Tree:
     def __init__(self) -> None:
         self.root = Node("body")
         self.stack = [self.root]
+        self.inside: dict[str, int] = {}
         self.marks = 0
 
     def text(self, s: str) -> None:
         if s:
             self.stack[-1].kids.append(s)
 
+    def _cut(self, depth: int) -> None:
+        """Leave all elements from ``depth`` on."""
+        for n in self.stack[depth:]:
+            self.inside[n.tag] -= 1
+        del self.stack[depth:]
+
+    def _nearest(self, *tags: str) -> str | None:
+        """Which of some elements is open, the innermost."""
+        return next((n.tag for n in reversed(self.stack) if n.tag in tags), None) if any(self.inside.get(t) for t in tags) else None
+
     def open(self, tag: str, info: str = "", mark: bool = True) -> None:
         self.marks += mark
-        names = [n.tag for n in self.stack]
-        if tag == "li" and "li" in names and not ({"ul", "ol"} & set(names[len(names) - names[::-1].index("li") :])):
+        if tag == "li" and self.inside.get("li") and self._nearest("li", "ul", "ol") == "li":
             self.close("li", mark=False)
-        elif tag in ("td", "th", "tr") and tag in names:
+        elif tag in ("td", "th", "tr"):
             for t in ("td", "th") if tag != "tr" else ("td", "th", "tr"):
-                if t in names and "table" not in names[len(names) - names[::-1].index(t) :]:
+                if self.inside.get(t) and self._nearest(t, "table") == t:
                     self.close(t, mark=False)
         elif tag in BLOCKS and self.stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         node = Node(tag, info)
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.inside[tag] = self.inside.get(tag, 0) + 1
 
     def close(self, tag: str, mark: bool = True) -> None:
         self.marks += mark
+        heading = tag[:1] == "h" and tag[1:].isdigit()
+        if not (any(self.inside.get(f"h{n}") for n in range(1, 7)) if heading else self.inside.get(tag)):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.stack[k].tag
-            if name == tag or (tag[:1] == "h" == name[:1] and tag[1:].isdigit() and name[1:].isdigit()):
-                del self.stack[k:]
+            if name == tag or (heading and name[:1] == "h" and name[1:].isdigit()):
+                self._cut(k)
                 return
 
     def toggle(self, tag: str) -> None:
-        self.close(tag) if any(n.tag == tag for n in self.stack) else self.open(tag)
+        self.close(tag) if self.inside.get(tag) else self.open(tag)
 
     def drop(self) -> None:
         self.marks += 1
 
 
 _TOKEN = re.compile(
-    rf"(?P<comment><!--.*?-->|<!\[.*?\]>|<!--|-->)|(?P<doctype><!(?i:doctype)[^>]*>?)|(?P<tag>(?i:{_TAG})(?:[^<>\n]|\n(?=[^<>\n]*>)){{0,400}}>?)|(?P<entity>{_ENTITY})"
+    rf"(?P<comment><!--.*?-->|<!\[.*?\]>|<!--|-->)|(?P<doctype><!(?i:doctype)[^>]*>?)|(?P<tag>(?i:{_TAG})(?:[^<>\n]|\n(?=[^<>\n]*>))*>?)|(?P<entity>{_ENTITY})"
     r"|(?P<env>\\(?:begin|end)\{\w+\*?\}(?:\{[^{}]*\})?)|(?P<frac>\\frac\{(?P<top>[^{}]*)\}\{(?P<low>[^{}]*)\})|\\(?P<cmd>[A-Za-z]+)\*?(?P<arg>\{)?[ ]?|(?P<esc>\\[%&_#${}])"
-    r"|(?P<row>\\\\)|(?P<math>\\[\[\](),;!]|\$\$)|(?P<group>\{\\(?:it|bf|em|tt|sl|sc)\b ?)|(?P<image>!\[(?P<alt>[^\]\n]*)\]\([^()\s]*\))|(?P<link>(?<!\[)\[(?P<shown>[^\[\]\n]{0,200})\]\((?P<url>[^()\s]*)\))"
+    r"|(?P<row>\\\\)|(?P<math>\\[\[\](),;!]|\$\$)|(?P<group>\{\\(?:it|bf|em|tt|sl|sc)\b ?)|(?P<image>!\[(?P<alt>[^\]\n]*)\]\([^()\s]*\))|(?P<link>(?<!\[)\[(?P<shown>[^\[\]\n]*)\]\((?P<url>[^()\s]*)\))"
     r"|(?P<foot>\[\^\w+\](?::)?)|(?P<wiki>\[\[(?P<wl>[^\[\]\n]*)\]\])|(?P<tpl>\{\{(?P<tp>[^{}\n]*)\}\})|(?P<loose>\[\[|\]\]|\{\{|\}\}|\]\([^()\s]*\)|!\[)|(?P<quote>'{2,5})"
-    r"|(?P<strong>\*\*|(?<!_)__(?!_))|(?P<strike>~~)|(?P<tick>`+)|(?P<star>\*(?! )(?P<em>[^*\n]{1,80})(?<! )\*)|(?P<brace>[{}])|(?P<amp>&)|(?P<dollar>\$(?P<tex>[^$\n]*(?:\\[A-Za-z]|=)[^$\n]*)\$)",
+    r"|(?P<strong>\*\*|(?<!_)__(?!_))|(?P<strike>~~)|(?P<tick>`+)|(?P<star>\*(?! )(?P<em>[^*\n]+)(?<! )\*)|(?P<brace>[{}])|(?P<amp>&)|(?P<dollar>\$(?P<tex>[^$\n]*(?:\\[A-Za-z]|=)[^$\n]*)\$)",
     re.DOTALL,
 )
 _SPECIAL = re.compile(r"[<&\\!\[\]{}'*_~`$]|-->")
@@ -157,14 +172,14 @@ class Reader:
                     continue
             follows = lines[k + 1].strip() if k + 1 < len(lines) else ""
             if m := re.match(r"(#{1,6}) +(\S.*)$", bare):
-                # '# ' may be a wiki list as well; a heading is short and ends without a full stop.
-                if len(m[1]) > 1 or not re.search(r"[。.;；]$", bare) and len(bare) < 80:
+                # '# ' may be a wiki list as well; a heading ends without a full stop.
+                if len(m[1]) > 1 or not re.search(r"[。.;；]$", bare):
                     flush()
                     self._block(f"h{len(m[1])}", m[2])
                 else:
                     flush()
                     self._block("li", m[2])
-            elif bare and re.fullmatch(r"={3,}|-{3,}", follows) and not bare.startswith("|") and len(bare) < 120:
+            elif bare and re.fullmatch(r"={3,}|-{3,}", follows) and not bare.startswith("|"):
                 flush()
                 self._block("h1" if follows[0] == "=" else "h2", bare)
                 k += 1
@@ -191,10 +206,10 @@ class Reader:
                 flush()
                 tree.drop()
                 self._block("note", m[1])
-            elif re.match(r"[|!].*", bare) and (re.match(r"\|.*\|$", bare) or any(n.tag == "table" for n in tree.stack)) and not bare.startswith("!["):
+            elif re.match(r"[|!].*", bare) and (re.match(r"\|.*\|$", bare) or tree.inside.get("table")) and not bare.startswith("!["):
                 flush()
                 cells = re.split(r"\|\||\|", bare.strip("|!"))
-                inside = any(n.tag == "tr" for n in tree.stack)
+                inside = tree.inside.get("tr")
                 if not inside:
                     tree.open("tr")
                 for c in cells:
@@ -219,8 +234,7 @@ class Reader:
         depth = len(self.tree.stack)
         self.tree.open(tag)
         self._inline(content)
-        if len(self.tree.stack) > depth:
-            del self.tree.stack[depth:]
+        self.tree._cut(depth)
 
     # -- signs within lines -----------------------------------------------------------
     def _inline(self, s: str) -> None:
@@ -381,64 +395,83 @@ class Reader:
 
 
 # -- density ------------------------------------------------------------------------------
-def measure(node: Node, linked: bool = False) -> None:
-    """Characters, tags, link characters and link tags of every node, bottom up."""
-    linked = linked or node.tag == "a"
-    node.chars = node.tags = node.link_chars = node.link_tags = 0
-    for k in node.kids:
-        if isinstance(k, str):
-            n = len(k.strip())
-            node.chars += n
-            node.link_chars += n * linked
-        else:
-            measure(k, linked)
-            node.chars += k.chars
-            node.tags += k.tags + 1
-            node.link_chars += k.link_chars
-            node.link_tags += k.link_tags + (k.tag == "a")
+#: Elements a page is laid out with: only these are its main content, or stand beside it as furniture.
+LAYOUT = frozenset("body div article section main aside nav header footer center".split())
 
 
-def densities(root: Node) -> None:
+def walked(root: Node) -> list[tuple[Node, Node | None, bool]]:
+    """All nodes with their parents and whether they stand in a link, parents first."""
+    out: list[tuple[Node, Node | None, bool]] = [(root, None, root.tag == "a")]
+    for node, _, linked in out:
+        out += [(k, node, linked or k.tag == "a") for k in node.kids if isinstance(k, Node)]
+    return out
+
+
+def measure(nodes: list[tuple[Node, Node | None, bool]]) -> None:
+    """Characters, tags, link characters and link tags of every node, bottom up."""
+    for node, _, linked in nodes:
+        node.chars = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        node.link_chars = node.chars * linked
+        node.tags = node.link_tags = 0
+    for node, parent, _ in reversed(nodes):
+        if parent is not None:
+            parent.chars += node.chars
+            parent.tags += node.tags + 1
+            parent.link_chars += node.link_chars
+            parent.link_tags += node.link_tags + (node.tag == "a")
+
+
+def densities(nodes: list[tuple[Node, Node | None, bool]]) -> None:
     """Composite text density of every node and the sum of its children's."""
+    root = nodes[0][0]
     share = root.link_chars / max(1, root.chars)
-
-    def visit(n: Node) -> None:
+    for n, _, _ in nodes:
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         base = math.log(c / max(1, c - n.link_chars) * n.link_chars + share * c + math.e)
         inner = max(1.0, c / lc * t / lt)
         n.density = c / t * (math.log(inner) / math.log(base) if base > 1 + 1e-9 else math.log(inner + 1)) if c else 0.0
         n.sum = 0.0
-        for k in n.kids:
-            if isinstance(k, Node):
-                visit(k)
-                n.sum += k.density
-
-    visit(root)
-
+    for n, parent, _ in nodes:
+        if parent is not None:
+            parent.sum += n.density
 
-def main_content(root: Node) -> tuple[Node, float]:
-    """The subtree of greatest density sum and the least density on its path to the body."""
-    measure(root)
-    densities(root)
-    best, path = root, [root]
 
-    def visit(n: Node, above: list[Node]) -> None:
-        nonlocal best, path
-        here = [*above, n]
-        if n.sum > best.sum:
-            best, path = n, here
-        for k in n.kids:
-            if isinstance(k, Node):
-                visit(k, here)
+def main_content(root: Node) -> tuple[Node, float, set[int]]:
+    """The layout subtree of greatest density sum, the least density on its path to the body, and the furniture: ids of nodes to leave out.
 
-    visit(root, [])
-    return best, min(n.density for n in path)
+    The threshold is a share of the subtree's density. Beside the path, a layout element is
+    furniture if its density is below the threshold or its density sum below that share of the
+    subtree's: a second article is content, a side column is not. So is a list or table below the
+    threshold that is mostly links, also within the subtree; else that is given out whole.
+    """
+    nodes = walked(root)
+    measure(nodes)
+    densities(nodes)
+    above = {id(n): parent for n, parent, _ in nodes}
+    best = max((n for n, _, _ in nodes if n.tag in LAYOUT), key=lambda n: n.sum)
+    path, n = [best], above[id(best)]
+    while n is not None:
+        path.append(n)
+        n = above[id(n)]
+    threshold = min(n.density for n in path)
+    least = best.sum * threshold / best.density if best.density > 0 else 0.0
+    on_path, within, out = set(map(id, path)), set(), set()
+    for n, parent, _ in nodes:
+        if n is best or (parent is not None and id(parent) in within):
+            within.add(id(n))
+        if id(n) in on_path:
+            continue
+        low, linked = n.density < threshold, n.link_chars * 2 > n.chars
+        beside = n.tag in LAYOUT and id(n) not in within and (low or max(n.sum, n.density) < least)
+        if beside or (low and linked and n.tags > 1 and n.tag in BLOCKS):
+            out.add(id(n))
+    return best, threshold, out
 
 
 # -- blocks -------------------------------------------------------------------------------
 def blocks(root: Node) -> list[tuple[str, int, str]]:
-    """(kind, level, text) of the content in order."""
-    _, threshold = main_content(root)
+    """(kind, level, text) of the content in order, without furniture; a walk with its own stack, however deep elements nest."""
+    _, _, furniture = main_content(root)
     out: list[tuple[str, int, str]] = []
     notes: list[tuple[str, int, str]] = []
     text: list[str] = []
@@ -460,56 +493,69 @@ def blocks(root: Node) -> list[tuple[str, int, str]]:
             if part:
                 out.append((kind, level, part))
 
-    def visit(n: Node, kind: str, level: int) -> None:
-        for k in n.kids:
-            if isinstance(k, str):
-                text.append(k)
-                continue
-            tag = k.tag
-            if tag in DROPPED or (k.density < threshold and k.link_chars * 2 > k.chars and tag in BLOCKS and k.tags > 1):
+    rows: list[list[str]] = []
+
+    def end_cell() -> None:
+        rows[-1].append(re.sub(r"\s+", " ", "".join(text)).strip())
+        text.clear()
+
+    def end_row() -> None:
+        cells = rows.pop()
+        if any(cells):
+            out.append(("table_row", 0, "\t".join(cells)))
+
+    # What is to be done: a node or string with its kind and level, or a call.
+    todo: list = [(k, "paragraph", 0) for k in reversed(root.kids)]
+    while todo:
+        item = todo.pop()
+        if callable(item):
+            item()
+            continue
+        k, kind, level = item
+        if isinstance(k, str):
+            text.append(k)
+            continue
+        tag = k.tag
+        if tag in DROPPED or id(k) in furniture:
+            continue
+        inside = lambda kind, level, k=k: [(x, kind, level) for x in reversed(k.kids)]
+        if tag in ("br", "hr"):
+            text.append("\n")
+        elif tag == "note":
+            inner = "".join(x for x in k.kids if isinstance(x, str)).strip()
+            if inner:
+                notes.append(("note", 0, inner))
+        elif tag == "tr":
+            flush(kind, level)
+            rows.append([])
+            todo.append(end_row)
+            for cell in reversed(k.kids):
+                if isinstance(cell, Node):
+                    todo.append(end_cell)
+                    todo += [(x, "cell", level) for x in reversed(cell.kids)]
+        elif tag in BLOCKS or (tag == "code" and kind == "code"):
+            own, depth = kind, level
+            if tag[0] == "h" and tag[1:].isdigit():
+                own, depth = "heading", int(tag[1:])
+            elif tag in ("li", "dt", "dd"):
+                own = "list_item"
+            elif tag in ("ul", "ol"):
+                depth = level + 1 if kind == "list_item" else 1
+            elif tag == "pre":
+                own = "code"
+            elif tag == "formula":
+                own = "formula"
+            elif tag == "blockquote":
+                own = "quote"
+            if own == "formula" and kind in ("paragraph", "list_item", "cell", "heading", "quote") and not re.search(r"\\|=", "".join(x for x in k.kids if isinstance(x, str))):
+                todo += inside(kind, level)  # brackets around words, no formula
                 continue
-            if tag in ("br", "hr"):
-                text.append("\n")
-            elif tag == "note":
-                inner = "".join(x for x in k.kids if isinstance(x, str)).strip()
-                if inner:
-                    notes.append(("note", 0, inner))
-            elif tag == "tr":
+            if kind != "cell":
                 flush(kind, level)
-                cells = []
-                for cell in k.kids:
-                    if isinstance(cell, Node):
-                        visit(cell, "cell", level)
-                        cells.append(re.sub(r"\s+", " ", "".join(text)).strip())
-                        text.clear()
-                if any(cells):
-                    out.append(("table_row", 0, "\t".join(cells)))
-            elif tag in BLOCKS or (tag == "code" and kind == "code"):
-                own, depth = kind, level
-                if tag[0] == "h" and tag[1:].isdigit():
-                    own, depth = "heading", int(tag[1:])
-                elif tag in ("li", "dt", "dd"):
-                    own = "list_item"
-                elif tag in ("ul", "ol"):
-                    depth = level + 1 if kind == "list_item" else 1
-                elif tag == "pre":
-                    own = "code"
-                elif tag == "formula":
-                    own = "formula"
-                elif tag == "blockquote":
-                    own = "quote"
-                if own == "formula" and kind in ("paragraph", "list_item", "cell", "heading", "quote") and not re.search(r"\\|=", "".join(x for x in k.kids if isinstance(x, str))):
-                    visit(k, kind, level)  # brackets around words, no formula
-                    continue
-                if kind != "cell":
-                    flush(kind, level)
-                visit(k, own, depth)
-                if kind != "cell":
-                    flush(own, depth)
-            else:
-                visit(k, kind, level)
-
-    visit(root, "paragraph", 0)
+                todo.append(lambda own=own, depth=depth: flush(own, depth))
+            todo += inside(own, depth)
+        else:
+            todo += inside(kind, level)
     flush("paragraph", 0)
     return out + notes
 
@@ -523,10 +569,13 @@ def clean(text: str | None) -> tuple[bool, list[tuple[str, int, str]]]:
     reader = Reader(text)
     if not reader.tree.marks:  # what looked like a sign was none in its place
         return False, [("paragraph", 0, text)]
-    try:
-        return True, blocks(reader.tree.root)
-    except RecursionError:  # elements nested past all sense: their text, in order
-        return True, [("paragraph", 0, html.unescape(re.sub(r"<[^<>]*>", " ", text)))]
+    found = blocks(reader.tree.root)
+    return _bare(plain(found)) != _bare(text), found
+
+
+def _bare(text: str) -> str:
+    """A text without its white space."""
+    return "".join(text.split())
 
 
 def plain(found: list[tuple[str, int, str]]) -> str:
