@@ -11,6 +11,7 @@ plausible as ordinary text, so foreign, accented, traditional and look-alike let
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import re
@@ -26,16 +27,24 @@ from pyspark.sql import functions as F
 from tessella.llm.forms import INVISIBLE, LOOKALIKES, RADICALS
 
 #: Encodings in which text is wrongly read, and in which it was written.
-WRONG_SINGLE = ("cp1252", "cp437", "cp1251", "koi8_r")
-WRONG_MULTI = ("gb18030", "big5hkscs", "cp932")
+WRONG_SINGLE = (
+    "cp1252", "cp437", "cp1251", "koi8_r", "mac_roman", "cp850", "cp866", "cp1250", "cp1253", "cp1254", "cp1257", "cp852", "cp855", "cp858", "cp1255", "cp1256", "cp1258", "koi8_u", "mac_cyrillic", "mac_latin2", "mac_greek",
+    "iso8859_1", "iso8859_2", "iso8859_4", "iso8859_5", "iso8859_7", "iso8859_9", "iso8859_10", "iso8859_13", "iso8859_15", "iso8859_16",
+)
+COMMON = WRONG_SINGLE[:4]
+WRONG_MULTI = ("gb18030", "big5hkscs", "cp932", "cp949")
 WRITTEN = ("utf-8", "gb18030", "big5")
 
 #: Nats a character of restored text may cost on average; ordinary text of the corpus costs about 6.
 PLAUSIBLE = 8.5
 #: Nats that a run must gain: a chance match of a few bytes gains less.
 GAIN = 12.0
-#: States expanded for a text; each is a distinct way to read it.
-EXPANSIONS = 8
+#: Bytes beyond ASCII that a run must have to be read in another encoding than the common ones.
+LONG = 8
+#: Share of the best state's gain that an open state may lack.
+BEHIND = 0.25
+#: Changes of script within a stretch of letters and signs of foreign scripts that no language makes.
+SWITCHES = 3
 
 
 def _codes(first: range, second: range, encoding: str) -> set[str]:
@@ -93,28 +102,26 @@ def signs() -> Signs:
     return Signs()
 
 
-class Plausibility:
+class Plausibility(dict):
     """Cost in nats of a character, from its share in the corpus."""
 
     def __init__(self, counts: dict[int, int]):
         total = sum(counts.values()) + 10_000
         self._unseen = float(np.log(total / 0.3))
-        self._cost = {chr(c): float(np.log(total / (n + 0.3))) for c, n in counts.items()}
-
-    def __call__(self, c: str) -> float:
-        known = self._cost.get(c)
-        if known is None:
-            if c in LOOKALIKES or c in RADICALS or c.isascii():
-                known = 8.0
-            elif c in plain():
-                known = min(self._unseen, 11.0)
-            else:
-                known = self._unseen + (6.0 if signs().lost.match(c) else 0.0)
-            self._cost[c] = known
+        super().__init__((chr(c), float(np.log(total / (n + 0.3)))) for c, n in counts.items())
+
+    def __missing__(self, c: str) -> float:
+        if c in LOOKALIKES or c in RADICALS or c.isascii():
+            known = 8.0
+        elif c in plain():
+            known = min(self._unseen, 11.0)
+        else:
+            known = self._unseen + (6.0 if signs().lost.match(c) else 0.0)
+        self[c] = known
         return known
 
-    def of(self, text: str) -> float:
-        return sum(map(self, text))
+    def of(self, text: str | list[str]) -> float:
+        return sum(map(self.__getitem__, text))
 
 
 def _sloppy(encoding: str) -> dict[str, int]:
@@ -137,12 +144,44 @@ def _single(encoding: str) -> tuple[dict[int, int], re.Pattern]:
     return {ord(c): b for c, b in table.items()}, re.compile(f"[{high}](?:[{high}]|[\x20-\x7e�](?=[\x20-\x7e�]{{0,24}}[{high}]))*[{high}]")
 
 
+@lru_cache(1)
+def _readers() -> dict[str, int]:
+    """For each character the one-byte encodings that hold it, as bits."""
+    out: dict[str, int] = {}
+    for k, e in enumerate(WRONG_SINGLE):
+        for c in _sloppy(e):
+            out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+@lru_cache(1 << 12)
+def _reading(characters: str) -> tuple[str, ...]:
+    """The one-byte encodings worth trying for a line with these characters: those that hold the most, in the stated order."""
+    masks = [m for c in characters if (m := _readers().get(c))]
+    held = [sum(m >> k & 1 for m in masks) for k in range(len(WRONG_SINGLE))]
+    best = max(held, default=0)
+    # A line may hold ordinary characters beside the garbled ones, of which another encoding happens to know a few more.
+    return tuple(e for e, n in zip(WRONG_SINGLE, held) if n >= 2 and n >= 0.9 * best)
+
+
+@lru_cache(1 << 10)
+def codec(declared: str | None) -> str | None:
+    """The name of a declared encoding among those tried here, however it is spelled; None for others."""
+    try:
+        name = codecs.lookup(re.sub(r"[^a-z0-9]+", "-", (declared or "").strip().lower()).strip("-")).name
+    except LookupError:
+        return None
+    return next((e for e in (*WRONG_SINGLE, *WRONG_MULTI, *WRITTEN) if codecs.lookup(e).name == {"gbk": "gb18030", "gb2312": "gb18030"}.get(name, name)), None)
+
+
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})(?:[\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})*")
-_GBK = re.compile(rb"(?:[\x81-\xfe][\x40-\x7e\x80-\xfe])(?:[\x20-\x7e]|[\x81-\xfe][\x40-\x7e\x80-\xfe])*")
+_UTF8_HEAD = re.compile(rb"[\xc2-\xf4][\x80-\xbf]")
 #: Two such sequences, one of three bytes: what ordinary Han text hardly holds in another encoding.
 _UTF8_RUN = re.compile(rb"[\xe0-\xef][\x80-\xbf]{2}[\xc2-\xef][\x80-\xbf]|[\x20-\x7e](?:[\xc2-\xdf][\x80-\xbf]|\xe2[\x80-\x84][\x80-\xbf])[\x20-\x7e]")
-_HAN = re.compile("[\u3100-\u312f\u3400-\u9fff\uff61-\uff9f]")
+_HAN = re.compile("[\u3100-\u312f\u3400-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
+_HANGUL = re.compile("[\uac00-\ud7a3]")
 _PIECES = re.compile("([\ufffd\n]|[\x20-\x7e]+)")
+_BEYOND = re.compile("[^\x00-\x7f]")
 _HIGH = re.compile(rb"[\x80-\xff]")
 
 
@@ -151,49 +190,71 @@ class Search:
 
     def __init__(self, cost: Plausibility):
         self.cost = cost
+        self.hint: str | None = None
 
     # -- operations -------------------------------------------------------------------
-    def _accept(self, before: str, after: str, sure: bool) -> bool:
+    def _accept(self, before: str, after: str, sure: bool, gain: float = GAIN) -> bool:
         """Whether ``after`` reads better than ``before``. ``sure``: the bytes alone prove it."""
-        odd = [c for c in after if not c.isascii()]
-        if not odd or any(signs().lost.match(c) or c < " " and c not in "\n\t\r" for c in odd):
-            odd = [c for c in odd if c != "�"]
-            if not odd or len(odd) * 2 < len([c for c in after if not c.isascii()]):
+        odd = _BEYOND.findall(after)
+        lost = signs().lost
+        if not odd or lost.search(after) or any(c < " " and c not in "\n\t\r" for c in odd):
+            good = [c for c in odd if c != "�"]
+            if not good or len(good) * 2 < len(odd) or any(lost.match(c) for c in good) and len(good) < len(odd):
                 return False
-        was, now = self.cost.of([c for c in before if not c.isascii()]), self.cost.of(odd)
+            odd = good
+        now = self.cost.of(odd)
+        was = self.cost.of(_BEYOND.findall(before))
         if sure and now < was:
             return True
-        return was - now >= GAIN and now <= PLAUSIBLE * len(odd)
-
-    def _single(self, text: str, wrong: str) -> Iterator[str]:
-        table, runs = _single(wrong)
-        for written in WRITTEN:
-
-            def read(m: re.Match, written: str = written) -> str:
+        return was - now >= gain and now <= PLAUSIBLE * len(odd)
+
+    def _single(self, text: str) -> Iterator[str]:
+        """Lines in which the runs of a one-byte encoding are read as they were written; encodings that give the same bytes are one.
+
+        The other encodings are tried where the common ones give no reading, and on runs of at
+        least ``LONG`` bytes: in few bytes so many encodings find something by chance.
+        """
+        done: set[str] = set()
+        some = False
+        for wrong in _reading("".join(sorted({c for c in text if not c.isascii()}))):
+            common = wrong in COMMON or wrong == self.hint
+            if some and not common:
+                break
+            table, runs = _single(wrong)
+            found = []
+            for m in runs.finditer(text):
                 data = m[0].replace("�", "").translate(table).encode("latin-1", "replace")
-                after = data.decode(written, "replace" if written == "utf-8" else "ignore")
-                high = len(_HIGH.findall(data))
-                kept = sum(len(c.encode(written, "ignore")) for c in after if not c.isascii() and c != "�")
-                if kept < 0.8 * high:
-                    return m[0]
-                return after if self._accept(m[0], after, written == "utf-8" and kept == high) else m[0]
-
-            changed = runs.sub(read, text)
-            if changed != text:
-                yield changed
+                if (high := len(_HIGH.findall(data))) >= (2 if common else LONG):
+                    found.append((*m.span(), m[0], data, high))
+            key = repr([(a, data) for a, _, _, data, _ in found])
+            if not found or key in done:
+                continue
+            done.add(key)
+            for written in WRITTEN:
+                out, pos = [], 0
+                for a, b, run, data, high in found:
+                    if written == "utf-8" and not _UTF8_HEAD.search(data):
+                        continue
+                    after = data.decode(written, "replace" if written == "utf-8" else "ignore")
+                    good = after.replace("�", "")
+                    kept = len(good.encode(written, "ignore")) - len(good.encode("ascii", "ignore"))
+                    if kept >= 0.8 * high and self._accept(run, after, written == "utf-8" and kept == high, GAIN / 2 if self.hint in (wrong, written) else GAIN):
+                        out += [text[pos:a], after]
+                        pos = b
+                if out:
+                    some = True
+                    yield "".join([*out, text[pos:]])
 
     def _multi(self, line: str, wrong: str) -> Iterator[str]:
         """Runs of a line whose bytes in ``wrong`` are valid UTF-8 (or GBK) and read better so."""
         try:
             data = line.encode(wrong)
-            units = None
         except UnicodeEncodeError:
-            units = [_bytes(c, wrong) for c in line]
-            data = b"".join(units)
+            data = b"".join([_bytes(c, wrong) for c in line])
         if _UTF8_RUN.search(data) or signs().inside.search(line):
             starts = {0: 0}
             at = 0
-            for i, u in enumerate(units or [_bytes(c, wrong) for c in line]):
+            for i, u in enumerate([_bytes(c, wrong) for c in line]):
                 at += len(u)
                 starts[at] = i + 1
             pos, piece = 0, []
@@ -224,9 +285,9 @@ class Search:
             if len(run) < 3 or run.isascii():
                 out.append(run)
                 continue
-            data = b"".join(_bytes(c, wrong) for c in run)
             gains, after = [], []
             if wrong == "cp932":
+                data = b"".join([_bytes(c, wrong) for c in run])
                 text = data.replace(b"\0", b"").decode(written, "ignore")
                 if self._accept(run, text, False):
                     out.append(text)
@@ -237,7 +298,7 @@ class Search:
             for c in run:
                 other = _reread(c, wrong, written)
                 after.append(other if other is not None else c)
-                gains.append(-6.0 if other is None or other == c else self.cost(c) - self.cost(other))
+                gains.append(-6.0 if other is None or other == c else self.cost[c] - self.cost[other])
             # The stretch with the greatest sum of gains, and the sum.
             best, best_a, best_b, total, a = 0.0, 0, 0, 0.0, 0
             for i, g in enumerate(gains):
@@ -268,26 +329,29 @@ class Search:
         """Lines one operation away."""
         s = signs()
         if s.odd.search(line) or s.pair.search(line):
-            for wrong in WRONG_SINGLE:
-                if _single(wrong)[1].search(line):
-                    yield from self._single(line, wrong)
+            yield from self._single(line)
         if _HAN.search(line):
             for wrong in WRONG_MULTI:
-                yield from self._multi(line, wrong)
+                if wrong != "cp949" or _HANGUL.search(line):
+                    yield from self._multi(line, wrong)
         if "&" in line and (plainer := html.unescape(line)) != line and s.suspect(plainer):
             yield plainer
 
     # -- search -----------------------------------------------------------------------
     def restore_line(self, line: str) -> str:
-        """The cheapest line reachable from ``line``."""
-        best, least = line, self.cost.of(line)
-        queue, seen, tie = [(least, 0, line)], {hash(line)}, 0
-        for _ in range(EXPANSIONS):
-            if not queue:
+        """The cheapest line reachable from ``line``.
+
+        The search ends where nothing is open, where the cheapest open state holds nothing
+        suspect, or where all open states are further from the best than it is from ``line``
+        by ``BEHIND``: states that far behind have read little of what the best has.
+        """
+        best, start = line, self.cost.of(line)
+        least = start
+        queue, seen, tie = [(start, 0, line)], {hash(line)}, 0
+        while queue:
+            now, _, state = heapq.heappop(queue)
+            if state is not line and (not signs().suspect(state) or now > least + BEHIND * (start - least)):
                 break
-            _, _, state = heapq.heappop(queue)
-            if state is not line and not signs().suspect(state):
-                break  # nothing cheaper is open, and nothing in it is odd
             for step in self.steps(state):
                 if (h := hash(step)) not in seen:
                     seen.add(h)
@@ -298,15 +362,26 @@ class Search:
                         best, least = step, cost
         return best
 
-    def restore(self, text: str) -> str:
-        """The text with each suspect line replaced by the cheapest line reachable from it."""
+    def restore(self, text: str, declared: str | None = None) -> str:
+        """The text with each suspect line replaced by the cheapest line reachable from it; ``declared``: its stated encoding, a hint."""
         s = signs()
-        if not s.suspect(text):
+        if not suspicious(text):
             return text
-        return "\n".join([self.restore_line(x) if s.suspect(x) else x for x in text.split("\n")])
+        self.hint = codec(declared)
+        return "\n".join([self.restore_line(x) if s.suspect(x) or _escaped(x) else x for x in text.split("\n")])
+
 
+def _escaped(text: str) -> bool:
+    """Whether a text holds references that stand for suspect characters."""
+    return "&" in text and (plainer := html.unescape(text)) != text and signs().suspect(plainer)
 
-@lru_cache(1 << 16)
+
+def suspicious(text: str) -> bool:
+    """Whether a text goes to the search."""
+    return signs().suspect(text) or _escaped(text)
+
+
+@lru_cache(1 << 17)
 def _reread(c: str, wrong: str, written: str) -> str | None:
     """The character whose bytes in ``written`` are those of ``c`` in ``wrong``."""
     data = _bytes(c, wrong)
@@ -319,6 +394,7 @@ def _reread(c: str, wrong: str, written: str) -> str | None:
     return other if len(other) == 1 else None
 
 
+@lru_cache(1 << 17)
 def _bytes(c: str, encoding: str) -> bytes:
     try:
         return c.encode(encoding)
@@ -326,9 +402,35 @@ def _bytes(c: str, encoding: str) -> bytes:
         return b"\0"
 
 
+def _script(c: str) -> str:
+    """The foreign script or kind of sign a character belongs to; empty for ordinary ones."""
+    if c.isascii() or c in plain():
+        return ""
+    code = ord(c)
+    for name, low, high in (("latin", 0xC0, 0x250), ("greek", 0x370, 0x400), ("cyrillic", 0x400, 0x530), ("sign", 0x80, 0xC0), ("hebrew", 0x590, 0x600), ("arabic", 0x600, 0x700), ("drawn", 0x2500, 0x25A0), ("mark", 0x2000, 0x2500), ("katakana", 0xFF61, 0xFFA0), ("hangul", 0xAC00, 0xD7A4), ("han", 0x3400, 0xA000)):
+        if low <= code < high:
+            return name
+    return "other"
+
+
+def mixed(text: str) -> bool:
+    """Whether somewhere foreign scripts and signs follow each other as no language writes them: what cannot be restored still shows."""
+    last, switches = "", 0
+    for c in text:
+        now = _script(c)
+        if not now:
+            last, switches = "", 0
+            continue
+        switches += bool(last) and now != last
+        if switches >= SWITCHES:
+            return True
+        last = now
+    return False
+
+
 def garbled(text: str, restored: str) -> bool:
-    """Whether a text holds wrongly decoded characters: it could be restored, or some are lost beyond it."""
-    return restored != text or bool(signs().lost.search(text))
+    """Whether a text holds wrongly decoded characters: it could be restored, or some are lost or mixed beyond it."""
+    return restored != text or bool(signs().lost.search(text)) or mixed(text)
 
 
 def character_counts(df: DataFrame, text: str) -> dict[int, int]:
@@ -353,25 +455,28 @@ def character_counts(df: DataFrame, text: str) -> dict[int, int]:
     return {r.code: r.n for r in rows}
 
 
-def restored(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def restored(df: DataFrame, keys: list[str], text: str, declared: str | None = None) -> DataFrame:
     """``keys`` and ``text`` of the records with wrongly decoded characters, and ``restored``.
 
-    Defined cases: null and empty texts hold none; of characters lost beyond restoring
-    (U+FFFD, control and private characters) what can be read is restored around them;
-    repeated rows are kept; other columns are ignored. One pass counts characters, one
-    narrow pass restores; nothing but the counts is shared.
+    ``declared`` names a column with the stated encoding, which is tried on weaker evidence
+    than others and may be null, unknown or wrong. Defined cases: null and empty texts hold
+    none; of characters lost beyond restoring (U+FFFD, control and private characters) what
+    can be read is restored around them; texts mixed of scripts beyond restoring come out as
+    they are; repeated rows are kept; other columns are ignored. One pass counts characters,
+    one narrow pass restores; the counts, of as many code points as the corpus has and
+    Unicode allows, are broadcast.
     """
-    cost = Plausibility(character_counts(df, text))
+    shared = df.sparkSession.sparkContext.broadcast(character_counts(df, text))
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search, s = Search(cost), signs()
+        search = Search(Plausibility(shared.value))
         for batch in batches:
-            texts = batch[text]
-            batch = batch[[bool(t) and s.suspect(t) for t in texts]]
-            new = [search.restore(t) for t in batch[text]]
-            batch = batch.assign(restored=new)
+            batch = batch[[bool(t) and suspicious(t) for t in batch[text]]]
+            said = batch[declared] if declared else [None] * len(batch)
+            new = [search.restore(t, d) for t, d in zip(batch[text], said)]
+            batch = batch[[*keys, text]].assign(restored=new)
             yield batch[[garbled(a, b) for a, b in zip(batch[text], new)]]
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, text]) + ", restored string"
-    return df.select(*keys, text).where(F.col(text).isNotNull()).mapInPandas(run, schema)
+    return df.select(*keys, text, *([declared] if declared else [])).where(F.col(text).isNotNull()).mapInPandas(run, schema)

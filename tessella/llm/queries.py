@@ -125,25 +125,24 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields of problem 7 with ``declared``, the encoding a conversion states."""
     conversions = table(spark, folder, "word_conversions")
-    noted = conversions.select(
-        F.lit("word_conversions").alias("table_name"),
-        F.lit("observations.first_nonempty_paragraphs").alias("field_name"),
-        F.col("id").alias("record_id"),
-        F.explode("observations.first_nonempty_paragraphs").alias("text"),
-    )
-    return fields(spark, folder, ("receipts", "id", "pdf_text_first_800"), CONVERSIONS, EXTRACTIONS).unionByName(noted)
+    named = [F.lit("word_conversions").alias("table_name"), F.col("id").alias("record_id"), F.col("observations.html_encoding").alias("declared")]
+    text = conversions.select(*named, F.lit("markdown_text").alias("field_name"), F.col("markdown_text").alias("text"))
+    noted = conversions.select(*named, F.lit("observations.first_nonempty_paragraphs").alias("field_name"), F.explode("observations.first_nonempty_paragraphs").alias("text"))
+    others = fields(spark, folder, ("receipts", "id", "pdf_text_first_800"), EXTRACTIONS).withColumn("declared", F.lit(None).cast("string"))
+    return others.unionByName(text).unionByName(noted)
 
 
 def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Texts and paragraphs with wrongly decoded characters, as stored and as far as restored."""
-    found = encodings.restored(_decoded_fields(spark, folder), ["table_name", "field_name", "record_id"], "text")
+    found = encodings.restored(_decoded_fields(spark, folder), ["table_name", "field_name", "record_id"], "text", "declared")
     return found.distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records that hold wrongly decoded characters."""
-    found = encodings.restored(_decoded_fields(spark, folder), ["table_name", "field_name", "record_id"], "text")
+    found = encodings.restored(_decoded_fields(spark, folder), ["table_name", "field_name", "record_id"], "text", "declared")
     return found.select("table_name", "record_id").distinct()
 
 
