@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import encodings, forms, leakage, markup, packing, pieces, scans, tokens, truncation
-from tessella.sources.tables import table
+from tessella.sources.tables import checkpointed, table
 
 
 def fields(spark: SparkSession, folder: str, *sources: tuple[str, str, str]) -> DataFrame:
@@ -159,12 +159,15 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_filling(spark: SparkSession, folder: str) -> DataFrame:
-    """How many containers are used and how full they are."""
+    """How many containers are used and how full they are, beside the least possible number and that of plain best fit."""
     capacity = _limits(spark, folder)["documents", "text", "container"][0]
-    used = p9_containers(spark, folder).groupBy("container").agg(F.sum("part_size").alias("used"))
+    sizes = checkpointed(tokens.count_tokens(table(spark, folder, "documents"), "doc_id", "text"))
+    used = packing.pack(sizes, "doc_id", "size", capacity).groupBy("container").agg(F.sum("part_size").alias("used"))
     out = used.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
     least = F.ceil(F.col("n_tokens") / capacity)
-    return out.withColumn("least_containers", least).withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity), 6))
+    out = out.withColumn("least_containers", least).withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity), 6))
+    # Two rows of totals, one each.
+    return out.crossJoin(packing.plain_containers(sizes, "doc_id", "size", capacity).select(F.col("n").alias("best_fit_containers")))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
