@@ -79,11 +79,10 @@ _MARKUP_SIGN = re.compile(r"[<\[\]{}'&~*_`\\]")
 
 
 def kind(line: str) -> str:
-    """What a line looks like; answers for short lines, which come again, are remembered."""
-    return _kind(line) if len(line) <= 120 else _kind.__wrapped__(line)
+    """What a line looks like; answers are remembered, for short lines, which come again, longer than for long ones."""
+    return _short_kind(line) if len(line) <= 120 else _long_kind(line)
 
 
-@lru_cache(1 << 16)
 def _kind(line: str) -> str:
     s = line.strip()
     if not s:
@@ -104,6 +103,10 @@ def _kind(line: str) -> str:
     return "text"
 
 
+_short_kind, _long_kind = lru_cache(1 << 16)(_kind), lru_cache(64)(_kind)
+
+
+@lru_cache(1 << 14)
 def _group(c: str) -> str:
     if c in _GROUPS:
         return _GROUPS[c]
@@ -161,7 +164,7 @@ class Perceptron:
 # -- features -----------------------------------------------------------------------------
 _WORD_SPOT = re.compile(r"rn|cl|vv|[cfm]|(?<=[a-z])[10](?![\d])|(?<![\d])[10](?=[a-z])|(?<=[A-Z])5(?=[A-Z])|(?<![\w.,])5(?=[a-z]{3})|l(?=nd|nt)")
 _SPOT = re.compile(r"(?<=[\d年月第按为 ,.，])[OlSBZ](?=[\d年月日%元份条个笔,.次项天万亿户])|(?<=\d)[OlSBZ]|[OlSBZ](?=\d)|(?<=[A-Z])5(?=[A-Z])")
-_SPECK = re.compile(f"(?<=[A-Za-z一-鿿])[{SPECKS}](?=[A-Za-z一-鿿])")
+_SPECK = re.compile(f"(?<=[A-Za-z一-鿿])[{re.escape(SPECKS)}](?=[A-Za-z一-鿿])")
 _HAN_RUN = re.compile("[一-鿿]{3,}")
 #: A Latin word that may have been misread; one that clean texts hold is left alone.
 _WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]*[a-z][A-Za-z0-9]*")
@@ -493,12 +496,13 @@ class Editor:
 
     def _characters(self, line: str) -> str:
         """A line or paragraph with its misread characters put right; what stands inside signs of markup is left alone."""
-        if kind(line) in _UNTOUCHED:
+        word, spot = _WORD.search(line), _SPOT.search(line)
+        if not (word or spot or _HAN_RUN.search(line)) or kind(line) in _UNTOUCHED:
             return line
         line = self._han(line)
         if (speck := _SPECK.search(line)) and not _MARKUP_SIGN.search(line.replace(speck[0], "")):
             line = _SPECK.sub(lambda m: "" if self._lead(_speck_features(line, m.start()), ["keep", "delete"]) == "delete" else m[0], line)
-        word, spot = _WORD.search(line), _SPOT.search(line)
+        word, spot = word and _WORD.search(line), spot and _SPOT.search(line)
         if not (word or spot):
             return line
         signs_ = [m.span() for m in _INLINE_MARKUP.finditer(line)] if _MARKUP_SIGN.search(line) else []
@@ -516,9 +520,10 @@ class Editor:
         fixed = 0
         lines = text.split("\n")
         gone = 0
-        masked, count = _masks(lines)
         # Furniture is a page number, what stands beside one, or a line that comes again; a text without any has none.
-        if _PAGE_LIKE.search(text) or any(n > 1 and m for m, n in count.items()):
+        full = [x for x in lines if x and not x.isspace()]
+        if len(set(full)) < len(full) or _PAGE_LIKE.search(text):
+            masked, count = _masks(lines)
             kept = [x for k, x in enumerate(lines) if not (x.strip() and self._furniture(lines, k, masked, count))]
             gone = len(lines) - len(kept)
             lines = kept
