@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import retrieval_length, retrieval_tokens
+from tessella.functions.text import retrieval_tokens
 from tessella.sources.tables import checkpointed
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Units of a shard and queries of a block.
+SHARD, QUERIES = 20_000, 50_000
+_WORD = re.compile("[A-Za-z0-9]+")
+#: The blanks stripped from segments.
+_BLANKS = " \t\n\x0b\f\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,27 +28,161 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select("d", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("d", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, text: str, scope: DataFrame | None = None) -> DataFrame:
-    """``q``, ``d``, ``score`` of every query and document with a common token.
+def token_codes(text: str) -> np.ndarray:
+    """The retrieval tokens of a text as whole numbers: bigrams packed exactly, words as negative 63-bit hashes."""
+    words = [-1 - (xxhash.xxh64_intdigest(w.lower()) >> 1) for w in _WORD.findall(text)]
+    segments = [x for x in (s.strip(_BLANKS) for s in _WORD.split(text)) if len(x) > 1]
+    codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    grams = codes[:-1] << 21 | codes[1:]
+    if len(segments) > 1:  # no bigram reaches over a word
+        grams = np.delete(grams, np.cumsum([len(x) for x in segments])[:-1] - 1)
+    return np.concatenate([np.array(words, np.int64), grams]) if words else grams
 
-    Statistics are of all documents with a token, also where ``scope`` (d) narrows what may
-    come out. Tokens that no query holds are dropped before anything is counted or shuffled;
-    document lengths are counted without making tokens.
+
+_UNIT = "dl int, tokens array<long>, tfs array<int>"
+
+
+def _counted(texts: list[str]) -> dict[str, list]:
+    """Length, distinct tokens and their frequencies of some texts."""
+    out: dict[str, list] = {"dl": [], "tokens": [], "tfs": []}
+    for t in texts:
+        codes = token_codes(t)
+        tokens, tfs = np.unique(codes, return_counts=True)
+        out["dl"].append(len(codes))
+        out["tokens"].append(tokens)
+        out["tfs"].append(tfs.astype(np.int32))
+    return out
+
+
+def indexed(docs: DataFrame, key: str, text: str, split: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """``d``, ``dl``, ``tokens``, ``tfs`` of every document with a token, or of every piece that ``split`` makes of it.
+
+    Tokens are counted where the text is read, so that what is stored and moved is a
+    posting of each distinct token. Written once; all that follows reads this.
     """
-    asked = queries.select(F.col(query_key).alias("q"), F.explode(F.array_distinct(retrieval_tokens(F.col(query_text)))).alias("token"))
-    # The length is counted below the explosion; beside it it would be counted again for every token.
-    tokens = docs.select(F.col(key).alias("d"), retrieval_length(F.col(text)).alias("dl"), retrieval_tokens(F.col(text)).alias("tokens"))
-    tokens = tokens.select("d", "dl", F.explode("tokens").alias("token"))
-    tokens = tokens.join(asked.select("token").distinct(), "token", "left_semi")
-    p = tokens.groupBy("token", "d").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
-    lengths = docs.select(retrieval_length(F.col(text)).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ds, texts = list(b["d"]), list(b["t"])
+            if split:
+                pairs = [(d, piece) for d, t in zip(ds, texts) for piece in split(t)]
+                ds, texts = [d for d, _ in pairs], [p for _, p in pairs]
+            out = pd.DataFrame({"d": pd.Series(ds, dtype=b["d"].dtype), **_counted(texts)})
+            yield out[out.dl > 0]
+
+    rows = docs.select(F.col(key).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    return checkpointed(rows.mapInPandas(run, f"d {kind}, {_UNIT}"))
+
+
+class Cell:
+    """Postings of one shard of units, searched by exact pruning with the greatest part each token can give."""
+
+    def __init__(self, units: pd.DataFrame, wanted: np.ndarray, avgdl: float):
+        self.ids, owner = np.unique(units.d.to_numpy(), return_inverse=True)
+        order = np.argsort(owner, kind="stable")
+        units, owner = units.iloc[order], owner[order]
+        self.first = np.searchsorted(owner, np.arange(len(self.ids)))
+        self.single = len(self.ids) == len(units)
+        sizes = units.tokens.map(len).to_numpy()
+        tokens, tfs, rows = np.concatenate(units.tokens.to_numpy()), np.concatenate(units.tfs.to_numpy()).astype(float), np.repeat(np.arange(len(units)), sizes)
+        keep = np.isin(tokens, wanted)
+        tokens, tfs, rows = tokens[keep], tfs[keep], rows[keep]
+        by = np.argsort(tokens, kind="stable")
+        self.rows = rows[by]
+        dl = units.dl.to_numpy(float)[self.rows]
+        self.parts = tfs[by] * (K1 + 1) / (tfs[by] + K1 * (1 - B + B * dl / avgdl))
+        self.tokens, self.start = np.unique(tokens[by], return_index=True)
+        self.stop = np.append(self.start[1:], len(tokens))
+        self.most = np.maximum.reduceat(self.parts, self.start) if len(self.tokens) else np.array([])
+        self.scores = np.zeros(len(units))
+
+    def _owners(self, scores: np.ndarray) -> np.ndarray:
+        return scores if self.single else np.maximum.reduceat(scores, self.first)
+
+    def best(self, tokens: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best ids for a query, by score rounded to six digits, then id; an owner of several units stands where its best one does."""
+        at = np.searchsorted(self.tokens, tokens)
+        ok = at < len(self.tokens)
+        ok[ok] = self.tokens[at[ok]] == tokens[ok]
+        at, idf = at[ok], idf[ok]
+        bound = idf * self.most[at]
+        order = np.argsort(-bound, kind="stable")
+        at, idf, bound = at[order], idf[order], bound[order]
+        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
+        s = self.scores
+        s[:] = 0.0
+        least, candidates = 0.0, None
+        for i, (t, w) in enumerate(zip(at, idf)):
+            if candidates is None and i and rest[i] < s.max():
+                owners = self._owners(s)
+                least = np.partition(owners, -k)[-k] if len(owners) >= k else 0.0
+                if rest[i] < least - 1e-5:
+                    # Units not met so far cannot come among the k best; of those met only some can.
+                    candidates = np.flatnonzero(s + rest[i] >= least - 1e-5)
+            a, b = self.start[t], self.stop[t]
+            if candidates is None:
+                s[self.rows[a:b]] += w * self.parts[a:b]
+            else:
+                own = self.rows[a:b]
+                k_at = np.searchsorted(own, candidates)
+                k_at[k_at == len(own)] = 0
+                hit = own[k_at] == candidates
+                s[candidates[hit]] += w * self.parts[a:b][k_at[hit]]
+        if candidates is not None:
+            kept = np.zeros_like(s)
+            kept[candidates] = s[candidates]
+            s = kept
+        owners = np.round(self._owners(s), 6)
+        met = np.flatnonzero(self._owners(s) > 0)
+        if len(met) > k:
+            edge = np.partition(owners[met], -k)[-k]
+            met = met[owners[met] >= edge]
+        met = met[np.lexsort((met, -owners[met]))][:k]
+        return self.ids[met], owners[met]
+
+
+def ranked(queries: DataFrame, units: DataFrame, query_key: str, query_text: str, k: int, scope: DataFrame | None = None) -> DataFrame:
+    """``q``, ``d``, ``score``, ``rk``: the k best owners of ``units`` for every query by BM25.
+
+    Units lie in shards of ``SHARD`` by owner, queries in blocks of ``QUERIES``; a cell of both
+    gives k rows a query, so what is shuffled after scoring never grows with the matches.
+    Statistics are of all units, also where ``scope`` (d) narrows what may come out.
+    """
+    q_kind, d_kind = dict(queries.dtypes)[query_key], dict(units.dtypes)["d"]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [np.unique(token_codes(t)) for t in b["t"]]
+            yield pd.DataFrame({"q": b["q"].repeat([len(x) for x in found]).to_numpy(), "token": np.concatenate(found) if found else []}).astype({"token": "int64"})
+
+    rows = queries.select(F.col(query_key).alias("q"), F.col(query_text).alias("t")).where(F.col("t").isNotNull())
+    asked = checkpointed(rows.mapInPandas(ask, f"q {q_kind}, token long").distinct())
+    n, avgdl = units.agg(F.count("*"), F.avg("dl")).first()
+    df = units.select(F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    idf = df.select("token", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     if scope is not None:
-        p = p.join(scope, "d", "left_semi")
-    # The totals are one row.
-    weighted = df.crossJoin(F.broadcast(lengths)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    terms = p.join(weighted, "token").select("token", "d", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
-    return asked.join(terms, "token").groupBy("q", "d").agg(F.round(F.sum("part"), 6).alias("score"))
+        units = units.join(scope, "d", "left_semi")
+    asked = checkpointed(asked.join(idf, "token").groupBy("q").agg(F.collect_list(F.struct("token", "idf")).alias("x")))
+    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked.count() // QUERIES))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    slot = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    a = asked.select("q", F.col("x.token").alias("ts"), F.col("x.idf").alias("ws"), slot("q", blocks).alias("block")).withColumn("shard", every(shards))
+    u = units.select("d", "dl", "tokens", "tfs", slot("d", shards).alias("shard")).withColumn("block", every(blocks))
+
+    def search(u: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        qs, ds, scores = [], [], []
+        if len(u) and len(a):
+            cell = Cell(u, np.unique(np.concatenate(a.ts.to_numpy())), avgdl)
+            for q, ts, ws in zip(a.q, a.ts, a.ws):
+                found, score = cell.best(np.asarray(ts), np.asarray(ws), k)
+                qs += [q] * len(found)
+                ds.append(found)
+                scores.append(score)
+        return pd.DataFrame({"q": pd.Series(qs, dtype=a.q.dtype), "d": np.concatenate(ds) if ds else pd.Series([], dtype=u.d.dtype), "score": np.concatenate(scores) if scores else pd.Series([], dtype="float64")})
+
+    found = u.groupBy("shard", "block").cogroup(a.groupBy("shard", "block")).applyInPandas(search, f"q {q_kind}, d {d_kind}, score double")
+    return top_k(found, k)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, text: str, k: int, scope: DataFrame | None = None) -> DataFrame:
@@ -50,7 +191,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, k
     Scores are rounded to six digits before ranking, equal ones ranked by ``d``. Documents
     without a common token do not come out; null texts match nothing.
     """
-    return top_k(bm25_scores(queries, docs, query_key, query_text, key, text, scope), k)
+    return ranked(queries, indexed(docs, key, text), query_key, query_text, k, scope)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -59,13 +200,17 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)
 
 
+#: What ends a sentence.
+SENTENCE_ENDS = "。！？.!?；;\n"
+
+
 def children(text: str, size: int = 240) -> list[str]:
     """Pieces of at most ``size`` characters; one is ended after its last sentence if that leaves half of it."""
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + size)
         if end < len(text):
-            last = max(text.rfind(c, at, end) for c in "。！？；\n")
+            last = max(text.rfind(c, at, end) for c in SENTENCE_ENDS)
             if last + 1 - at >= size // 2:
                 end = last + 1
         out.append(text[at:end])
@@ -75,18 +220,7 @@ def children(text: str, size: int = 240) -> list[str]:
 
 def parent_child(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, text: str, k: int) -> DataFrame:
     """BM25 over the children of documents; a document stands where its best child does."""
-    kind = dict(docs.dtypes)[key]
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, i, c) for p, t in zip(b["p"], b["t"]) for i, c in enumerate(children(t))]
-            yield pd.DataFrame(rows, columns=["p", "i", "t"])
-
-    parts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("p"), F.col(text).alias("t")).mapInPandas(split, f"p {kind}, i int, t string")
-    parts = checkpointed(parts.select(F.struct("p", "i").alias("d"), "t"))
-    found = bm25_scores(queries, parts, query_key, query_text, "d", "t")
-    best = found.groupBy("q", F.col("d.p").alias("d")).agg(F.max("score").alias("score"))
-    return top_k(best, k)
+    return ranked(queries, indexed(docs, key, text, children), query_key, query_text, k)
 
 
 def dense(queries: DataFrame, vectors: DataFrame, query_key: str, query_vector: str, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:

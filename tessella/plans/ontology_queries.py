@@ -88,8 +88,8 @@ def witness_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 def orphan_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Parts and customers that no edge touches on one side."""
-    parts = V.entities(spark, folder, "Part")["part"].join(V.edges(spark, folder, "lineForPart").select(F.col("o").alias("key")), "key", "left_anti")
-    customers = V.entities(spark, folder, "Customer")["customer"].join(V.edges(spark, folder, "eventOf").select(F.col("o").alias("key")), "key", "left_anti")
+    parts = V.entities(spark, folder, "Part")["part"].select("key").join(V.edges(spark, folder, "lineForPart").select(F.col("o").alias("key")), "key", "left_anti")
+    customers = V.entities(spark, folder, "Customer")["customer"].select("key").join(V.edges(spark, folder, "eventOf").select(F.col("o").alias("key")), "key", "left_anti")
     text = lambda d, t: d.select(F.concat(F.lit(f"{t}/"), F.col("key").cast("string")).alias("entity"))
     return text(parts, "part").unionByName(text(customers, "customer"))
 
@@ -143,7 +143,7 @@ def shape_interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 def shape_threshold(spark: SparkSession, folder: str) -> DataFrame:
     """Nations with fewer suppliers than a threshold."""
-    n = V.entities(spark, folder, "Nation")["nation"]
+    n = V.entities(spark, folder, "Nation")["nation"].select("key")
     s = V.edges(spark, folder, "suppliedFrom").groupBy("o").agg(F.count_distinct("s").alias("n"))
     return n.join(s, n.key == s.o, "left").select(F.col("key").alias("nation"), F.coalesce("n", F.lit(0)).alias("n_suppliers")).where("n_suppliers < 4")
 

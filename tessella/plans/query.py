@@ -138,49 +138,109 @@ class Compiler:
             raise PlanError(f"{name!r} is no datatype property of {at}")
 
     # -- pieces -------------------------------------------------------------------------
-    def _step(self, at: str, hop: Hop, start: str, end: str) -> tuple[str, DataFrame]:
-        """Edges of a hop as columns ``start`` and ``end``, with its demands applied."""
-        to = self._arrives(at, hop)
-        e = self.v.edges(self.spark, self.folder, hop.property)
-        e = e.select(F.col("o" if hop.inverse else "s").alias(start), F.col("s" if hop.inverse else "o").alias(end))
+    def _stored(self, hop: Hop) -> tuple[str, str, bool]:
+        """Where a hop is stored: the table, the expression of the foreign key, and whether the hop goes along it (from the table) or against it."""
+        p, along = self.v.properties[hop.property], not hop.inverse
+        while p.inverse_of:
+            p, along = self.v.properties[p.inverse_of], not along
+        return p.table, p.value, along
+
+    def _single(self, at: str, hops: tuple[Hop, ...]) -> bool:
+        """Whether no pair of a path comes out twice: one hop, or hops along foreign keys only, between tables with unique keys."""
+        stored = [self._stored(h) for h in hops]
+        return self.v.unique(at) and (all(along for _, _, along in stored) or (len(hops) == 1 and self.v.unique(stored[0][0])))
+
+    def _demands(self, to: str, hop: Hop, e: DataFrame, end: str) -> DataFrame:
+        """Edges that arrive where a hop demands."""
         if hop.key is not None:
             e = e.where(F.col(end) == hop.key)
         if hop.cls:
-            e = e.join(self.v.entities(self.spark, self.folder, hop.cls)[to].withColumnRenamed("key", end), end, "left_semi")
+            e = e.join(self.v.entities(self.spark, self.folder, hop.cls)[to].select(F.col("key").alias(end)), end, "left_semi")
         if hop.label is not None:
             names = self.v.label(self.spark, self.folder, to).where(F.col("label") == hop.label)
             e = e.join(names.select(F.col("key").alias(end)), end, "left_semi")
-        return to, e
+        return e
+
+    def _step(self, at: str, hop: Hop, start: str, end: str, rows: DataFrame | None = None, carry: dict[str, str] | None = None) -> tuple[str, DataFrame, dict[str, str]]:
+        """Edges of a hop as columns ``start`` and ``end``; taken from ``rows`` where the hop is stored there.
 
-    def _path(self, at: str, hops: tuple[Hop, ...], start: str = "key", end: str = "end") -> tuple[str, DataFrame]:
-        """Pairs (start, end) of a path."""
+        ``carry`` maps names of columns to datatype properties of the end; those that the
+        scan of the edges holds anyway are added, the others returned. Where the edges are rows
+        of the end's own table, its class is a filter of the same scan.
+        """
+        to = self._arrives(at, hop)
+        name, value, along = self._stored(hop)
+        more: dict[str, str] = {}
+        left = dict(carry or {})
+        if along and rows is not None and self.v.unique(at):
+            e = rows.select(F.col("key").alias(start), F.expr(value).alias(end))
+        else:
+            source = self.v.rows(self.spark, self.folder, name)
+            if not along and hop.cls:
+                source = source.where(self.v.tables_of(hop.cls)[to])
+                hop = Hop(hop.property, hop.inverse, None, hop.label, hop.key)
+            if not along:
+                more = {c: p for c, p in left.items() if self._own(to, p)}
+                left = {c: p for c, p in left.items() if c not in more}
+            s, o = (F.col("key"), F.expr(value)) if along else (F.expr(value), F.col("key"))
+            e = source.select(s.alias(start), o.alias(end), *[F.expr(self.v.properties[p].value).alias(c) for c, p in more.items()])
+        return to, self._demands(to, hop, e.where(F.col(start).isNotNull() & F.col(end).isNotNull()), end), left
+
+    def _path(self, at: str, hops: tuple[Hop, ...], start: str = "key", end: str = "end", rows: DataFrame | None = None, carry: dict[str, str] | None = None) -> tuple[str, DataFrame]:
+        """Pairs (start, end) of a path with the columns of ``carry``; with ``rows`` only pairs that start there."""
+        if not hops:
+            raise PlanError("an empty path")
         out: DataFrame | None = None
+        left: dict[str, str] = {}
+        began = at
         for i, hop in enumerate(hops):
-            a, b = (start if i == 0 else f"_{i}"), (end if i == len(hops) - 1 else f"_{i + 1}")
-            at, e = self._step(at, hop, a, b)
+            a, b, last = (start if i == 0 else f"_{i}"), (end if i == len(hops) - 1 else f"_{i + 1}"), i == len(hops) - 1
+            at, e, left = self._step(at, hop, a, b, rows if i == 0 else None, carry if last else None)
             out = e if out is None else out.join(e, a).drop(a)
-        if out is None:
-            raise PlanError("an empty path")
+        if rows is not None and not (self._stored(hops[0])[2] and self.v.unique(began)):
+            out = out.join(rows.select(F.col("key").alias(start)), start, "left_semi")
+        if left:
+            for p in left.values():
+                self._literal(at, p)
+            own = self.v.rows(self.spark, self.folder, at).select(F.col("key").alias(end), *[F.expr(self.v.properties[p].value).alias(c) for c, p in left.items()])
+            out = out.join(own, end)
         return at, out
 
-    def _values(self, at: str, name: str, key: str, value: str) -> DataFrame:
+    def _own(self, at: str, name: str) -> bool:
+        """Whether a datatype property is a column of a table."""
         self._literal(at, name)
-        return self.v.edges(self.spark, self.folder, name).select(F.col("s").alias(key), F.col("o").alias(value))
-
-    def _holding(self, at: str, test: Test) -> DataFrame:
-        """Keys for which a test holds: some value at the end of its path compares so."""
-        if not test.path:
-            return self._values(at, test.property, "key", "v").where(compare(F.col("v"), test.op, test.value)).select("key")
-        to, pairs = self._path(at, test.path)
-        ends = self._values(to, test.property, "end", "v").where(compare(F.col("v"), test.op, test.value)).select("end")
-        return pairs.join(ends, "end").select("key")
+        return self.v.properties[name].table == at
+
+    def _column(self, at: str, c: Any) -> Column | None:
+        """A condition as a test of the row itself, where that is all it takes; null stands for no."""
+        if isinstance(c, Test) and not c.path and self.v.unique(at) and self._own(at, c.property):
+            return F.coalesce(compare(F.expr(self.v.properties[c.property].value), c.op, c.value), F.lit(False))
+        if isinstance(c, Exists) and len(c.path) == 1 and self.v.unique(at):
+            hop = c.path[0]
+            self._arrives(at, hop)
+            _, value, along = self._stored(hop)
+            if along and not hop.cls and hop.label is None:
+                return F.expr(value).isNotNull() if hop.key is None else F.coalesce(F.expr(value) == hop.key, F.lit(False))
+        if isinstance(c, Not) and (inner := self._column(at, c.inner)) is not None:
+            return ~inner
+        parts = [self._column(at, x) for x in c.parts] if isinstance(c, (And, Or)) else [None]
+        if all(x is not None for x in parts):
+            return reduce((lambda a, b: a & b) if isinstance(c, And) else (lambda a, b: a | b), parts)
+        return None
 
     def _condition(self, at: str, rows: DataFrame, c: Any) -> DataFrame:
-        """Rows of ``rows`` for which a condition tree holds. AND narrows, OR flags, NOT is an anti join."""
+        """Rows of ``rows`` for which a condition tree holds. What a row says itself is a filter of its scan; AND narrows, OR flags, NOT is an anti join."""
+        if (own := self._column(at, c)) is not None:
+            return rows.where(own)
         if isinstance(c, And):
-            return reduce(lambda d, x: self._condition(at, d, x), c.parts, rows)
+            # Filters first: they reach the scan.
+            return reduce(lambda d, x: self._condition(at, d, x), sorted(c.parts, key=lambda x: self._column(at, x) is None), rows)
         if isinstance(c, Test):
-            return rows.join(self._holding(at, c), "key", "left_semi")
+            if not c.path:
+                held = self.v.edges(self.spark, self.folder, c.property).where(compare(F.col("o"), c.op, c.value)).select(F.col("s").alias("key"))
+                return rows.join(held, "key", "left_semi")
+            to, pairs = self._path(at, c.path, carry={"_v": c.property})
+            return rows.join(pairs.where(compare(F.col("_v"), c.op, c.value)).select("key"), "key", "left_semi")
         if isinstance(c, Exists):
             return rows.join(self._path(at, c.path)[1].select("key"), "key", "left_semi")
         if isinstance(c, Not):
@@ -211,14 +271,16 @@ class Compiler:
             rows = rows.where(~F.col("key").isin(keys))
         if plan.date_range:
             name, low, high = plan.date_range
-            rows = rows.join(self._values(at, name, "key", "d").where(self._between(F.col("d"), low, high)).select("key"), "key", "left_semi")
+            if not self._own(at, name):
+                raise PlanError(f"{name} is no column of {at}")
+            rows = rows.where(self._between(F.expr(self.v.properties[name].value), low, high))
         return rows
 
     def _anchored(self, plan: Plan) -> tuple[str, DataFrame]:
         at, key = plan.anchor
         hops, reached = plan.traversal, None
         for i, hop in enumerate(hops):
-            at, e = self._step(at, hop, "from", "key")
+            at, e, _ = self._step(at, hop, "from", "key")
             if i == 0:
                 reached = e.where(F.col("from") == key).select("key").distinct()
             else:
@@ -254,43 +316,56 @@ class Compiler:
     def _one(self, plan: Plan, at: str, rows: DataFrame) -> DataFrame:
         rows = self._rows(plan, at, rows)
         columns = [iri(at, "key").alias("entity")]
+        single = self.v.unique(at)
         if plan.related:
-            to, pairs = self._path(at, plan.related)
+            carry = {}
+            if plan.related_date_range:
+                carry["_in"] = plan.related_date_range[0]
+            if plan.latest:
+                carry["_d"] = plan.latest
+            if plan.aggregate and plan.aggregate.measure:
+                carry["_m"] = plan.aggregate.measure
+            to, pairs = self._path(at, plan.related, rows=rows, carry=carry)
+            single = single and self._single(at, plan.related)
             if plan.related_date_range:
-                name, low, high = plan.related_date_range
-                ends = self._values(to, name, "end", "d").where(self._between(F.col("d"), low, high)).select("end")
-                pairs = pairs.join(ends, "end", "left_semi")
+                pairs = pairs.where(self._between(F.col("_in"), *plan.related_date_range[1:]))
             if plan.latest:
-                pairs = pairs.join(self._values(to, plan.latest, "end", "d"), "end")
                 # The newest day of each key from partial aggregates, joined back: ties stay, and no key is sorted in one task.
-                pairs = pairs.join(rows, "key", "left_semi")
-                newest = pairs.groupBy("key").agg(F.max("d").alias("d"))
-                pairs = pairs.join(newest, ["key", "d"], "left_semi").drop("d")
+                newest = pairs.groupBy("key").agg(F.max("_d").alias("_d"))
+                pairs = pairs.join(newest, ["key", "_d"], "left_semi")
             if plan.aggregate:
-                return self._aggregated(plan, at, rows, to, pairs)
-            rows = rows.join(pairs, "key")
+                return self._aggregated(plan, at, pairs if single else pairs.distinct())
             columns.append(iri(to, "end").alias("related"))
+            if not plan.project:
+                out = pairs.select(*columns)
+                return out if single else out.distinct()
+            rows = rows.join(pairs.select("key", "end"), "key")
         for name, (hops, prop) in plan.project.items():
             if hops:
-                to, pairs = self._path(at, hops, end="_e")
-                values = pairs.join(self._values(to, prop, "_e", name), "_e").select("key", name)
+                _, values = self._path(at, hops, end="_e", carry={f"_{name}": prop})
+                rows = rows.join(values.select("key", f"_{name}"), "key", "left")
+                single = single and self._single(at, hops)
+            elif self.v.unique(at) and self._own(at, prop):
+                rows = rows.withColumn(f"_{name}", F.expr(self.v.properties[prop].value))
             else:
-                values = self._values(at, prop, "key", name)
-            rows = rows.join(values, "key", "left")
-            columns.append(F.col(name))
-        return rows.select(*columns).distinct()
+                rows = rows.join(self.v.edges(self.spark, self.folder, prop).select(F.col("s").alias("key"), F.col("o").alias(f"_{name}")), "key", "left")
+            columns.append(F.col(f"_{name}").alias(name))
+        out = rows.select(*columns)
+        # Only where the way to a row was unique it cannot come out twice.
+        return out if single and not any(hops for hops, _ in plan.project.values()) else out.distinct()
 
-    def _aggregated(self, plan: Plan, at: str, rows: DataFrame, to: str, pairs: DataFrame) -> DataFrame:
+    def _aggregated(self, plan: Plan, at: str, pairs: DataFrame) -> DataFrame:
         a = plan.aggregate
         if (a.measure is None) != (a.fn == "count") or a.fn not in ("count", "sum", "avg", "min", "max"):
             raise PlanError("count takes no measure, every other function one")
-        pairs = pairs.join(rows, "key", "left_semi")
+        m = F.col("_m") if a.measure else None
         if a.fn == "count":
             value = F.count_distinct("end")
+        elif a.distinct and a.fn in ("sum", "avg"):
+            value = F.sum_distinct(m) if a.fn == "sum" else F.sum_distinct(m) / F.count_distinct(m)
         else:
-            pairs = pairs.join(self._values(to, a.measure, "end", "m"), "end")
-            m = F.col("m")
-            value = {"sum": F.sum_distinct if a.distinct else F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.fn](m)
+            value = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.fn](m)
+        if a.fn != "count":
             value = F.round(value.cast("double"), 4)
         out = pairs.groupBy("key").agg(value.alias("value"))
         if a.having:
@@ -306,7 +381,8 @@ class Compiler:
         out = out.orderBy(*keys)
         if plan.offset:
             out = out.offset(plan.offset)
-        if plan.limit is not None:
-            out = out.limit(plan.limit)
+        if plan.limit is None:
+            return out  # a whole result is ordered by ranges; only a page is ranked
+        out = out.limit(plan.limit)
         # What is left is a page; its order is given out as a rank.
         return out.withColumn("rk", F.row_number().over(Window.orderBy(*keys)) + plan.offset)

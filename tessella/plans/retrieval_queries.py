@@ -122,6 +122,25 @@ select q, d, score, rk from (select q, d, score, row_number() over (partition by
 """
 
 
+_PARENT_SQL = f"""
+with recursive c as (
+  select doc_id as d, text, length(text) as n, 0::bigint as a, 0::bigint as b from documents where length(text) > 0
+  union all
+  select d, text, n, b, case when b + 240 < n and length(regexp_extract(substring(text, b + 1, 240), '^(.*[。！？.!?；;\n])', 1, 's')) >= 120
+    then b + length(regexp_extract(substring(text, b + 1, 240), '^(.*[。！？.!?；;\n])', 1, 's')) else least(n, b + 240) end from c where b < n),
+u as (select d, a, substring(text, a + 1, b - a) as t from c where b > a),
+l as (select d, a, len(toks) as dl, toks from (select d, a, {_tok("t")} as toks from u) where len(toks) > 0),
+s as (select count(*) as n, avg(dl) as avgdl from l),
+p as (select d, a, dl, token, count(*) as tf from (select d, a, dl, unnest(toks) as token from l) group by all),
+f as (select token, count(*) as df from p group by 1),
+k as (select distinct q, token from (select doc_id as q, unnest({_tok("title")}) as token from documents where doc_id % 20 = 0 and title is not null)),
+r as (select q, d, max(score) as score from (
+  select q, d, a, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+  from k join p using (token) join f using (token) cross join s group by q, d, a) group by q, d)
+select q, d, score, rk from (select q, d, score, row_number() over (partition by q order by score desc, d) as rk from r) where rk <= {K}
+"""
+
+
 def _fused_sql(a: float, b: float) -> str:
     return (
         f"select q, d, score, rk from (select q, d, score, row_number() over (partition by q order by score desc, d) as rk from (select q, d, round(sum(part), 8) as score from ("
@@ -134,6 +153,7 @@ SQL: dict[str, str] = {
     "corpus_statistics": f"select count(*) as n, sum(len(t))::bigint as total, round(avg(len(t)), 6) as avgdl from (select {_tok("text")} as t from documents where text is not null) where len(t) > 0",
     "bm25_topk": _bm25_sql("text", K),
     "bm25_scoped": _bm25_sql("text", K, "fund_code = 'SF00417'"),
+    "parent_child_bm25": _PARENT_SQL,
     "dense_topk": f"select q, d, score, rk from (select q, d, score, row_number() over (partition by q order by score desc, d) as rk from (select a.vec_id as q, b.vec_id as d, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id % 20 = 0)) where rk <= {K}",
     "rrf_fuse": _fused_sql(1.0, 1.0),
     "weighted_rrf": _fused_sql(0.8, 2.5),

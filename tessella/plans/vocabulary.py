@@ -41,6 +41,7 @@ class Vocabulary:
     chains: dict[str, tuple[str, str]] = field(default_factory=dict)
     disjoint: tuple[tuple[str, ...], ...] = ()
     codes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    repeated: frozenset[str] = frozenset()
 
     # -- closures over the schema -----------------------------------------------------
     def ancestors(self, name: str) -> dict[str, tuple[str, ...]]:
@@ -83,9 +84,17 @@ class Vocabulary:
                 out.setdefault(t, []).append(condition)
         return {t: " or ".join(f"({c})" for c in dict.fromkeys(cs)) for t, cs in out.items()}
 
+    def unique(self, name: str) -> bool:
+        """Whether a table's key names one row only."""
+        return name not in self.repeated
+
+    def rows(self, spark: SparkSession, folder: str, name: str) -> DataFrame:
+        """A table with its entities' key as ``key``; columns not asked for later are not read."""
+        return table(spark, folder, name).withColumn("key", F.expr(self.keys[name]))
+
     def entities(self, spark: SparkSession, folder: str, name: str) -> dict[str, DataFrame]:
-        """Type scan: for each table the keys ``key`` of the instances; the condition reaches the scan."""
-        return {t: table(spark, folder, t).where(condition).select(F.expr(self.keys[t]).alias("key")) for t, condition in self.tables_of(name).items()}
+        """Type scan: for each table its rows of the class with their ``key``; the condition reaches the scan."""
+        return {t: self.rows(spark, folder, t).where(condition) for t, condition in self.tables_of(name).items()}
 
     def edges(self, spark: SparkSession, folder: str, name: str) -> DataFrame:
         """``s``, ``o`` of a property in the tables' own key types."""
@@ -109,11 +118,15 @@ class Vocabulary:
 
 
 def iri(table_name: str, key: F.Column | str) -> F.Column:
-    """The identity of an entity: its table and key."""
-    return F.concat(F.lit(f"{table_name}/"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string"))
+    """The identity of an entity: its table and key; a key of several columns is written out here only."""
+    k = F.col(key) if isinstance(key, str) else key
+    if table_name == "lineitem":
+        k = F.concat_ws("-", k["l_orderkey"], k["l_linenumber"], k["l_partkey"], k["l_suppkey"], F.date_format(k["l_shipdate"], "yyyyMMdd"))
+    return F.concat(F.lit(f"{table_name}/"), k.cast("string"))
 
 
-LINE_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd'))"
+LINE_KEY = "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate)"
+LINE_LABEL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd'))"
 _LEAVES = {
     "part": ("p_type", {"PromoPart": "PROMO", "StandardPart": "STANDARD", "SmallPart": "SMALL", "LargePart": "LARGE", "EconomyPart": "ECONOMY", "MediumPart": "MEDIUM"}, "Part"),
     "orders": ("o_orderstatus", {"OpenOrder": "O", "FilledOrder": "F", "PartialOrder": "P"}, "Order"),
@@ -158,13 +171,14 @@ def _commerce() -> Vocabulary:
     ]
     return Vocabulary(
         keys={"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "lineitem": LINE_KEY},
-        labels={"region": "r_name", "nation": "n_name", "customer": "c_name", "supplier": "s_name", "part": "p_name", "orders": "cast(o_orderkey as string)", "events": "event_type", "lineitem": LINE_KEY},
+        labels={"region": "r_name", "nation": "n_name", "customer": "c_name", "supplier": "s_name", "part": "p_name", "orders": "cast(o_orderkey as string)", "events": "event_type", "lineitem": LINE_LABEL},
         parents=parents,
         bindings=bindings,
         properties={x.name: x for x in p},
         chains={"locatedInRegion": ("locatedIn", "inRegion"), "orderNation": ("placedBy", "locatedIn")},
         disjoint=(("Place", "Party", "Item", "Record"), ("OpenOrder", "FilledOrder", "PartialOrder"), ("Customer", "Supplier")),
         codes={"priority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")},
+        repeated=frozenset({"lineitem"}),
     )
 
 
