@@ -1,8 +1,8 @@
 """Attributes as known at event time (problem 5): an as-of join over validity intervals.
 
 Events and changes are co-grouped by entity; inside a group a vectorised binary search
-finds, for all events at once, the last change recorded by the event time, and steps
-back over changes that were not in force then.
+finds, for all events at once, the last change recorded by the event time; for those that
+meet one not in force then, a sweep over time finds the last that was.
 
 No entity may flood a task: both sides are counted first (partial aggregates, one row
 an entity), and an entity with more than ``block`` events or changes is cut into a grid
@@ -13,30 +13,46 @@ bound form one cell and pay nothing.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of either side that one co-grouped call holds at most, but for hash imbalance.
+from tessella.sources.tables import checkpointed
+
+#: Rows of either side that a cell holds at most and a co-grouped call on average.
 BLOCK = 50_000
 
 
 def latest_valid(recorded: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Index of the last change from ``first`` on with recorded <= at, start <= at and end > at; -1 if none.
 
-    ``recorded`` is sorted. Each round tests, for the events still open, one change
-    further back, so there are as many rounds as the longest run of changes not in force.
+    ``recorded`` is sorted. A binary search finds, for all events at once, the last change
+    recorded; where it was not in force, a sweep over time finds the last one that was: changes
+    enter a heap when they are known and begun and leave it when they have ended, so runs of
+    ended changes cost n log n, not a step back for each.
     """
-    found = np.full(len(at), -1, np.int64)
-    open_ = np.arange(len(at))
     pos = np.searchsorted(recorded, at, side="right") - 1
-    while len(open_):
-        keep = pos >= first[open_]
-        open_, pos = open_[keep], pos[keep]
-        hit = (start[pos] <= at[open_]) & (end[pos] > at[open_])
-        found[open_[hit]] = pos[hit]
-        open_, pos = open_[~hit], pos[~hit] - 1
+    known = pos >= first
+    found = np.where(known & (start[pos] <= at) & (end[pos] > at), pos, -1) if len(recorded) else np.full(len(at), -1, np.int64)
+    open_ = np.flatnonzero(known & (found < 0))
+    if not len(open_):
+        return found
+    begins = np.maximum(recorded, start)
+    entering = np.argsort(begins, kind="stable")
+    heap: list[int] = []
+    k = 0
+    for e in open_[np.argsort(at[open_], kind="stable")].tolist():
+        now = at[e]
+        while k < len(entering) and begins[entering[k]] <= now:
+            heapq.heappush(heap, -int(entering[k]))
+            k += 1
+        while heap and end[-heap[0]] <= now:
+            heapq.heappop(heap)  # time only goes on: what has ended never comes back
+        if heap and -heap[0] >= first[e]:
+            found[e] = -heap[0]
     return found
 
 
@@ -59,9 +75,10 @@ def asof_join(events: DataFrame, changes: DataFrame, block: int = BLOCK) -> Data
     """
     e = events.select("event_id", "entity", "at").dropna().distinct()
     c = changes.select("entity", "change_id", "recorded", "start", "end").dropna(subset=["entity", "change_id", "recorded"]).distinct()
-    e_count = e.groupBy("entity").agg(F.ceil(F.count("*") / block).alias("e_slices"))
-    c_count = c.groupBy("entity").agg(F.ceil(F.count("*") / block).alias("c_slices"))
-    grid = e_count.join(c_count, "entity")
+    e_count = e.groupBy("entity").agg(F.count("*").alias("ne"), F.ceil(F.count("*") / block).alias("e_slices"))
+    c_count = c.groupBy("entity").agg(F.count("*").alias("nc"), F.ceil(F.count("*") / block).alias("c_slices"))
+    counted = checkpointed(e_count.join(c_count, "entity"))
+    grid, sizes = counted.select("entity", "e_slices", "c_slices"), counted
     days = lambda x: F.datediff(x, F.lit("1970-01-01").cast("date")).cast("long")
     e = e.join(grid, "entity").select("entity", "event_id", days(F.col("at")).alias("at"), "e_slices", "c_slices")
     c = c.join(grid, "entity").select(
@@ -72,8 +89,9 @@ def asof_join(events: DataFrame, changes: DataFrame, block: int = BLOCK) -> Data
     )
     e = _sliced(e, "e_slices", "c_slices", "e_slice", "c_slice", ["event_id"]).drop("e_slices", "c_slices")
     c = _sliced(c, "c_slices", "e_slices", "c_slice", "e_slice", ["change_id"]).drop("e_slices", "c_slices")
-    # A Python call for each entity would be slow, so a call takes a bucket of cells; there are eight buckets to a shuffle partition.
-    buckets = 8 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A Python call for each entity would be slow, so a call takes a bucket of cells, of which there are as many as the rows counted need.
+    rows = sizes.agg(F.sum(F.col("ne") * F.col("c_slices") + F.col("nc") * F.col("e_slices"))).first()[0] or 0
+    buckets = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // block))
     cell = ["entity", "e_slice", "c_slice"]
     key = F.pmod(F.xxhash64(*cell), F.lit(buckets)).alias("k")
 

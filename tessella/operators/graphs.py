@@ -79,9 +79,6 @@ def type_evidence(v: Vocabulary, spark: SparkSession, folder: str, cls: str) ->
     return reduce(lambda a, b: a.unionByName(b), out).distinct()
 
 
-VERDICTS = ("ENTAILED", "CONTRADICTED", "UNKNOWN", "INVALID_REQUEST")
-
-
 def verify(v: Vocabulary, subject: str, relation: str, obj: str) -> str:
     """Whether the schema entails, contradicts or leaves open a statement about classes or properties."""
     known = set(v.classes())
@@ -93,7 +90,7 @@ def verify(v: Vocabulary, subject: str, relation: str, obj: str) -> str:
             return "ENTAILED" if up else "CONTRADICTED" if v.are_disjoint(subject, obj) else "UNKNOWN"
         if relation == "disjoint_with":
             return "ENTAILED" if v.are_disjoint(subject, obj) else "CONTRADICTED" if up or subject in v.ancestors(obj) else "UNKNOWN"
-        return "ENTAILED" if subject == obj else "CONTRADICTED" if v.are_disjoint(subject, obj) else "UNKNOWN"
+        return "ENTAILED" if subject == obj or obj in v.equivalents(subject) else "CONTRADICTED" if v.are_disjoint(subject, obj) else "UNKNOWN"
     if relation in ("domain_of", "range_of", "inverse_of"):
         if subject not in v.properties or (relation == "inverse_of" and obj not in v.properties) or (relation != "inverse_of" and obj not in known):
             return "INVALID_REQUEST"
@@ -134,6 +131,62 @@ def degrees(triples: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("out").alias("n_out"), F.sum("in").alias("n_in"))
 
 
+def orphans(v: Vocabulary, spark: SparkSession, folder: str) -> DataFrame:
+    """``entity``, ``property``: entities of a stored object property's range that no edge of it reaches."""
+    out = []
+    for name, p in v.properties.items():
+        if p.range_table and not p.inverse_of:
+            ends = v.edges(spark, folder, name).select(F.col("o").alias("key"))
+            free = v.rows(spark, folder, p.range_table).select("key").join(ends, "key", "left_anti")
+            out.append(free.select(iri(p.range_table, "key").alias("entity"), F.lit(name).alias("property")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def chain_audit(v: Vocabulary, spark: SparkSession, folder: str) -> DataFrame:
+    """``chain``, ``n_pairs``, ``n_open``: pairs that each chain closes, and those of them no stored fact states."""
+    out = []
+    for name, (first, second) in v.chains.items():
+        a = v.edges(spark, folder, first).select("s", F.col("o").alias("m"))
+        b = v.edges(spark, folder, second).select(F.col("s").alias("m"), "o")
+        pairs = a.join(b, "m").select("s", "o").distinct()
+        stated = v.edges(spark, folder, name).withColumn("stated", F.lit(1)) if name in v.properties else None
+        joined = pairs.join(stated.distinct(), ["s", "o"], "left") if stated is not None else pairs.withColumn("stated", F.lit(None).cast("int"))
+        out.append(joined.agg(F.lit(name).alias("chain"), F.count("*").alias("n_pairs"), (F.count("*") - F.count("stated")).alias("n_open")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def anchor_layers(v: Vocabulary, spark: SparkSession, folder: str, hops: list[str]) -> DataFrame:
+    """``anchor``, ``layer``, ``property``, ``n_nodes``: how many nodes each hop against the properties reaches from every anchor."""
+    out, reached = [], None
+    top = v.sides(hops[0])[1]
+    for n, hop in enumerate(hops):
+        e = v.edges(spark, folder, hop)
+        if reached is None:
+            reached = e.select(F.col("o").alias("anchor"), F.col("s").alias("node")).distinct()
+        else:
+            reached = e.select(F.col("o").alias("node"), "s").join(reached, "node").select("anchor", F.col("s").alias("node")).distinct()
+        reached = checkpointed(reached) if n + 1 < len(hops) else reached
+        out.append(reached.groupBy("anchor").agg(F.count("*").alias("n_nodes")).select(iri(top, "anchor").alias("anchor"), F.lit(n + 1).alias("layer"), F.lit(hop).alias("property"), "n_nodes"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def witness_paths(v: Vocabulary, spark: SparkSession, folder: str, hops: list[str]) -> DataFrame:
+    """``entity``, ``reached``, ``path``: for every pair a path of properties connects, the least chain of facts that shows it."""
+    at = v.sides(hops[0])[0]
+    start, found = at, None
+    for hop in hops:
+        s, o = v.sides(hop)
+        e = v.edges(spark, folder, hop)
+        fact = F.concat(iri(s, "node"), F.lit(f" {hop} "), iri(o, "o"))
+        if found is None:
+            found = e.select(F.col("s").alias("start"), F.col("s").alias("node"), "o").select("start", F.col("o").alias("end"), fact.alias("path"))
+        else:
+            step = found.select("start", F.col("end").alias("node"), "path").join(e.select(F.col("s").alias("node"), "o"), "node")
+            found = step.select("start", F.col("o").alias("end"), F.concat("path", F.lit("; "), fact).alias("path"))
+        at = o
+    return found.groupBy("start", "end").agg(F.min("path").alias("path")).select(iri(start, "start").alias("entity"), iri(at, "end").alias("reached"), "path")
+
+
 def graph_hash(triples: DataFrame) -> DataFrame:
     """A hash of the set of triples, the same however they are ordered or partitioned.
 

@@ -26,8 +26,10 @@ def subclass_shortest_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """The verdict on every pair of classes for two relations."""
-    rows = [(a, r, b, graphs.verify(V, a, r, b)) for a in V.classes() for b in V.classes() for r in ("subclass_of", "disjoint_with")]
+    """The verdict on every pair of classes, and of properties and classes or properties, for all six relations."""
+    c, p = V.classes(), sorted(V.properties)
+    rows = [(a, r, b, graphs.verify(V, a, r, b)) for a in c for b in c for r in ("subclass_of", "disjoint_with", "equivalent_to")]
+    rows += [(a, r, b, graphs.verify(V, a, r, b)) for a in p for b in c for r in ("domain_of", "range_of")] + [(a, "inverse_of", b, graphs.verify(V, a, "inverse_of", b)) for a in p for b in p]
     return graphs.schema_frame(spark, rows, "subject string, relation string, object string, verdict string")
 
 
@@ -67,36 +69,39 @@ def neighbourhood_2hop(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.neighbourhood(graphs.object_triples(V, spark, folder), "supplier/5", 2)
 
 
+_DOWN = ["inRegion", "locatedIn", "placedBy", "lineOf"]
+
+
 def anchor_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """How many nodes each hop from a region reaches."""
-    out, reached = None, None
-    for n, (hop, start) in enumerate([("inRegion", "region"), ("locatedIn", "nation"), ("placedBy", "customer"), ("lineOf", "orders")]):
-        e = V.edges(spark, folder, hop)
-        reached = e.where("o = 1").select("s").distinct() if n == 0 else e.join(reached.withColumnRenamed("s", "o"), "o", "left_semi").select("s").distinct()
-        one = reached.agg(F.count("*").alias("n_nodes")).select(F.lit(n + 1).alias("layer"), F.lit(hop).alias("property"), "n_nodes")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """How many nodes each hop back from each region reaches."""
+    return graphs.anchor_layers(V, spark, folder, _DOWN)
 
 
 def witness_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """For every customer of a region, one chain of facts that shows it: the least."""
-    nation = V.edges(spark, folder, "locatedIn").select(F.col("s").alias("c"), F.col("o").alias("n"))
-    region = V.edges(spark, folder, "inRegion").select(F.col("s").alias("n"), F.col("o").alias("r")).where("r = 1")
-    path = F.concat(F.lit("customer/"), F.col("c").cast("string"), F.lit(" locatedIn nation/"), F.col("n").cast("string"), F.lit("; nation/"), F.col("n").cast("string"), F.lit(" inRegion region/1"))
-    return nation.join(region, "n").select(F.concat(F.lit("customer/"), F.col("c").cast("string")).alias("entity"), path.alias("path")).groupBy("entity").agg(F.min("path").alias("path"))
+    """For every customer and its region, one chain of facts that shows it: the least."""
+    return graphs.witness_paths(V, spark, folder, ["locatedIn", "inRegion"])
 
 
 def orphan_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts and customers that no edge touches on one side."""
-    parts = V.entities(spark, folder, "Part")["part"].select("key").join(V.edges(spark, folder, "lineForPart").select(F.col("o").alias("key")), "key", "left_anti")
-    customers = V.entities(spark, folder, "Customer")["customer"].select("key").join(V.edges(spark, folder, "eventOf").select(F.col("o").alias("key")), "key", "left_anti")
-    text = lambda d, t: d.select(F.concat(F.lit(f"{t}/"), F.col("key").cast("string")).alias("entity"))
-    return text(parts, "part").unionByName(text(customers, "customer"))
+    """Entities that no edge of a property reaches, for every stored object property."""
+    return graphs.orphans(V, spark, folder)
 
 
 def degree_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges at every nation and region."""
-    return graphs.degrees(graphs.object_triples(V, spark, folder, ["suppliedFrom", "locatedIn", "inRegion"])).where("node like 'nation/%' or node like 'region/%'")
+    """Edges at every node of the whole graph."""
+    return graphs.degrees(graphs.object_triples(V, spark, folder))
+
+
+def chain_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """For every chain: pairs that should be closed, and those that stored facts leave open."""
+    return graphs.chain_audit(V, spark, folder)
+
+
+def graph_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of all stored triples and whether two orders of them have one hash."""
+    t = graphs.object_triples(V, spark, folder)
+    a, b = graphs.graph_hash(t), graphs.graph_hash(t.orderBy(F.desc("o")).select("o", "p", "s"))
+    return a.join(b.withColumnRenamed("graph_hash", "other"), "n_triples").select("n_triples", (F.col("graph_hash") == F.col("other")).alias("same"))
 
 
 def supersedes_closure(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,6 +197,8 @@ _EDGES = ", ".join(f"('{c}', '{p}')" for c, ps in sorted(V.parents.items()) for
 _REC = _SUB.format(_EDGES).replace("with edge", "with recursive edge", 1)
 _DISJOINT = "g(k, m) as (values " + ", ".join(f"({i}, '{m}')" for i, group in enumerate(V.disjoint) for m in group) + ")"
 _DIS = f"{_REC}, {_DISJOINT}, dis as (select distinct a.sub as a, b.sub as b from g x join g y on x.k = y.k and x.m <> y.m join up a on a.sup = x.m join up b on b.sup = y.m)"
+_null = lambda x: "null" if x is None else f"'{x}'"
+_PROP = "prop(p, d, r, i) as (values " + ", ".join(f"('{p.name}', '{p.domain}', {_null(p.range_class)}, {_null(p.inverse_of)})" for p in V.properties.values()) + "), eq(a, b) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in V.equivalent or (("", ""),)) + ")"
 _VER = f"v as (select distinct version_id, document_id, title, publisher, issued_date, effective_from, withdrawn_date, supersedes, license, sha256, {_sql_day('issued_date')} as i, {_sql_day('effective_from')} as f, {_sql_day('withdrawn_date')} as w from document_versions)"
 _TRI = {
     "suppliedFrom": "select 'supplier/' || s_suppkey as s, 'suppliedFrom' as p, 'nation/' || s_nationkey as o from supplier",
@@ -199,8 +206,9 @@ _TRI = {
     "inRegion": "select 'nation/' || n_nationkey as s, 'inRegion' as p, 'region/' || n_regionkey as o from nation",
     "placedBy": "select 'orders/' || o_orderkey as s, 'placedBy' as p, 'customer/' || o_custkey as o from orders",
     "eventOf": "select 'events/' || event_id as s, 'eventOf' as p, 'customer/' || user_id as o from events",
+    **{p: f"select distinct 'lineitem/' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) as s, '{p}' as p, '{t}/' || {k} as o from lineitem" for p, t, k in (("lineOf", "orders", "l_orderkey"), ("lineForPart", "part", "l_partkey"), ("lineFrom", "supplier", "l_suppkey"))},
 }
-_NEAR = " union all ".join(_TRI[x] for x in ("suppliedFrom", "locatedIn", "inRegion"))
+_NEAR = " union all ".join(_TRI.values())
 _CHAINS = {
     "locatedInRegion": "select 'customer/' || c_custkey as s, 'locatedInRegion' as p, 'region/' || n_regionkey as o, 'chain' as rule, min('customer/' || c_custkey || ' locatedIn nation/' || n_nationkey || '; nation/' || n_nationkey || ' inRegion region/' || n_regionkey) as premises from customer join nation on c_nationkey = n_nationkey group by 1, 3",
     "orderNation": "select 'orders/' || o_orderkey as s, 'orderNation' as p, 'nation/' || c_nationkey as o, 'chain' as rule, min('orders/' || o_orderkey || ' placedBy customer/' || c_custkey || '; customer/' || c_custkey || ' locatedIn nation/' || c_nationkey) as premises from orders join customer on o_custkey = c_custkey group by 1, 3",
@@ -216,18 +224,20 @@ n as (select *, row_number() over (partition by version_id, len(errors) = 0 orde
 SQL: dict[str, str] = {
     "subclass_closure": f"{_REC} select sub, sup, min(steps)::int as steps from up group by 1, 2",
     "subclass_shortest_chain": f"with recursive edge(c, p) as (values {_EDGES}), up as (select c as sub, p as sup, c || ' > ' || p as chain, 1 as steps from edge union all select up.sub, e.p, up.chain || ' > ' || e.p, up.steps + 1 from up join edge e on e.c = up.sup) select sub, sup, arg_min(chain, (steps, chain)) as chain from up group by 1, 2",
-    "verify_matrix": f"{_DIS}, c as (select distinct sub as x from up), m as (select a.x as s, b.x as o, exists (select 1 from up where sub = a.x and sup = b.x) as u, exists (select 1 from up where sub = b.x and sup = a.x) as d, exists (select 1 from dis where dis.a = a.x and dis.b = b.x) as j from c a, c b) select s as subject, 'subclass_of' as relation, o as object, case when u then 'ENTAILED' when j then 'CONTRADICTED' else 'UNKNOWN' end as verdict from m union all select s, 'disjoint_with', o, case when j then 'ENTAILED' when u or d then 'CONTRADICTED' else 'UNKNOWN' end from m",
+    "verify_matrix": f"{_DIS}, {_PROP}, c as (select distinct sub as x from up), m as (select a.x as s, b.x as o, exists (select 1 from up where sub = a.x and sup = b.x) as u, exists (select 1 from up where sub = b.x and sup = a.x) as d, exists (select 1 from dis where dis.a = a.x and dis.b = b.x) as j from c a, c b) select s as subject, 'subclass_of' as relation, o as object, case when u then 'ENTAILED' when j then 'CONTRADICTED' else 'UNKNOWN' end as verdict from m union all select s, 'disjoint_with', o, case when j then 'ENTAILED' when u or d then 'CONTRADICTED' else 'UNKNOWN' end from m union all select s, 'equivalent_to', o, case when s = o or (s, o) in (select a, b from eq union select b, a from eq) then 'ENTAILED' when j then 'CONTRADICTED' else 'UNKNOWN' end from m union all select p, r, x, case when k is null then 'UNKNOWN' when exists (select 1 from up where sub = k and sup = x) then 'ENTAILED' when exists (select 1 from dis where dis.a = k and dis.b = x) then 'CONTRADICTED' else 'UNKNOWN' end from (select p, 'domain_of' as r, d as k from prop union all select p, 'range_of', r from prop) cross join c union all select a.p, 'inverse_of', b.p, case when a.i = b.p or b.i = a.p then 'ENTAILED' else 'UNKNOWN' end from prop a, prop b",
     "disjoint_pairs": f"{_DIS} select a, b from dis where a < b",
     "inverse_materialise": _INVERSE,
     "chain_materialise": " union all ".join(_CHAINS.values()),
     "rule_counts": f"select rule, p, count(*) as n from ({_INVERSE} union all {' union all '.join(_CHAINS.values())}) group by 1, 2",
-    "type_evidence": "select 'orders/' || o_orderkey as entity, case o_orderstatus when 'O' then 'OpenOrder' when 'F' then 'FilledOrder' else 'PartialOrder' end as stated_type, case o_orderstatus when 'O' then 'OpenOrder > Order' when 'F' then 'FilledOrder > Order' else 'PartialOrder > Order' end as chain, 'inferred' as evidence from orders",
+    "type_evidence": "select distinct * from (select 'orders/' || o_orderkey as entity, case o_orderstatus when 'O' then 'OpenOrder' when 'F' then 'FilledOrder' else 'PartialOrder' end as stated_type, stated_type || ' > Order > Record' as chain, 'inferred' as evidence from orders union all select 'events/' || event_id, upper(left(event_type, 1)) || substring(event_type, 2) || 'Event' as s, s || ' > Event > Record', 'inferred' from events union all select 'lineitem/' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')), 'LineItem', 'LineItem > Record', 'inferred' from lineitem)",
     "neighbourhood_1hop": f"select * from ({' union all '.join(_TRI.values())}) where s = 'customer/7' or o = 'customer/7'",
     "neighbourhood_2hop": f"with t as ({_NEAR}), a as (select * from t where s = 'supplier/5' or o = 'supplier/5'), n as (select s as x from a union select o from a union select 'supplier/5') select distinct t.* from t where s in (select x from n) or o in (select x from n)",
-    "anchor_layers": "with n as (select n_nationkey from nation where n_regionkey = 1), c as (select c_custkey from customer where c_nationkey in (select * from n)), o as (select o_orderkey from orders where o_custkey in (select * from c)) select 1 as layer, 'inRegion' as property, count(*) as n_nodes from n union all select 2, 'locatedIn', count(*) from c union all select 3, 'placedBy', count(*) from o union all select 4, 'lineOf', count(distinct concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate)) from lineitem where l_orderkey in (select * from o)",
-    "witness_paths": "select 'customer/' || c_custkey as entity, 'customer/' || c_custkey || ' locatedIn nation/' || n_nationkey || '; nation/' || n_nationkey || ' inRegion region/1' as path from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1",
-    "orphan_entities": "select 'part/' || p_partkey as entity from part where p_partkey not in (select l_partkey from lineitem) union all select 'customer/' || c_custkey from customer where c_custkey not in (select user_id from events)",
-    "degree_counts": f"with t as ({_NEAR}), e as (select s as node, 1 as a, 0 as b from t union all select o, 0, 1 from t) select node, sum(a)::bigint as n_out, sum(b)::bigint as n_in from e where node like 'nation/%' or node like 'region/%' group by 1",
+    "anchor_layers": "with n as (select n_regionkey as r, n_nationkey as k from nation), c as (select distinct r, c_custkey as k from customer join n on c_nationkey = n.k), o as (select distinct r, o_orderkey as k from orders join c on o_custkey = c.k), l as (select distinct r, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) as k from lineitem join o on l_orderkey = o.k), x as (select r, 1 as layer, 'inRegion' as property, k::varchar as k from n union all select r, 2, 'locatedIn', k::varchar from c union all select r, 3, 'placedBy', k::varchar from o union all select r, 4, 'lineOf', k from l) select 'region/' || r as anchor, layer, property, count(*) as n_nodes from x group by all",
+    "witness_paths": "select 'customer/' || c_custkey as entity, 'region/' || n_regionkey as reached, min('customer/' || c_custkey || ' locatedIn nation/' || n_nationkey || '; nation/' || n_nationkey || ' inRegion region/' || n_regionkey) as path from customer join nation on c_nationkey = n_nationkey group by 1, 2",
+    "orphan_entities": " union all ".join(f"select '{t}/' || {k} as entity, '{p}' as property from {t} where {k} not in (select {f} from {s} where {f} is not null)" for p, t, k, s, f in (("placedBy", "customer", "c_custkey", "orders", "o_custkey"), ("lineOf", "orders", "o_orderkey", "lineitem", "l_orderkey"), ("lineForPart", "part", "p_partkey", "lineitem", "l_partkey"), ("lineFrom", "supplier", "s_suppkey", "lineitem", "l_suppkey"), ("locatedIn", "nation", "n_nationkey", "customer", "c_nationkey"), ("suppliedFrom", "nation", "n_nationkey", "supplier", "s_nationkey"), ("inRegion", "region", "r_regionkey", "nation", "n_regionkey"), ("eventOf", "customer", "c_custkey", "events", "user_id"))),
+    "chain_audit": "select 'locatedInRegion' as chain, count(*)::bigint as n_pairs, count(*)::bigint as n_open from (select distinct c_custkey, n_regionkey from customer join nation on c_nationkey = n_nationkey) union all select 'orderNation', count(*), count(*) from (select distinct o_orderkey, c_nationkey from orders join customer on o_custkey = c_custkey)",
+    "graph_digest": f"select count(*) as n_triples, true as same from (select distinct * from ({_NEAR}))",
+    "degree_counts": f"with t as ({_NEAR}), e as (select s as node, 1 as a, 0 as b from t union all select o, 0, 1 from t) select node, sum(a)::bigint as n_out, sum(b)::bigint as n_in from e group by 1",
     "supersedes_closure": "with recursive e as (select distinct version_id as s, supersedes as o from document_versions where supersedes is not null), t as (select s, o, 1 as steps from e union all select t.s, e.o, t.steps + 1 from t join e on e.s = t.o where t.steps < 32) select s, o, min(steps)::int as steps from t group by 1, 2",
     "shape_cardinality": f"with {_VER} select version_id, 'title' as missing from v where title is null union all select version_id, 'publisher' from v where publisher is null union all select version_id, 'issued_date' from v where issued_date is null union all select version_id, 'license' from v where license is null",
     "shape_datatype_pattern": f"with {_VER} select version_id, field from (select version_id, unnest(['issued_date', 'effective_from', 'withdrawn_date']) as field, unnest([issued_date, effective_from, withdrawn_date]) as x from v) where x is not null and not regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') union all select version_id, 'sha256' from v where sha256 is null or not regexp_full_match(sha256, '[0-9a-f]{{64}}')",
@@ -243,7 +253,7 @@ SQL: dict[str, str] = {
 QUERIES = {
     f.__name__: f
     for f in (
-        subclass_closure, subclass_shortest_chain, verify_matrix, disjoint_pairs, inverse_materialise, chain_materialise, rule_counts, type_evidence, neighbourhood_1hop, neighbourhood_2hop, anchor_layers,
+        chain_audit, graph_digest, subclass_closure, subclass_shortest_chain, verify_matrix, disjoint_pairs, inverse_materialise, chain_materialise, rule_counts, type_evidence, neighbourhood_1hop, neighbourhood_2hop, anchor_layers,
         witness_paths, orphan_entities, degree_counts, supersedes_closure, shape_cardinality, shape_datatype_pattern, shape_unique_key, shape_date_order, shape_interval_overlap, shape_threshold,
         shape_self_reference, enforce_valid_rows, enforce_errors,
     )

@@ -42,6 +42,8 @@ class Vocabulary:
     disjoint: tuple[tuple[str, ...], ...] = ()
     codes: dict[str, tuple[str, ...]] = field(default_factory=dict)
     repeated: frozenset[str] = frozenset()
+    equivalent: tuple[tuple[str, str], ...] = ()
+    subproperties: dict[str, str] = field(default_factory=dict)
 
     # -- closures over the schema -----------------------------------------------------
     def ancestors(self, name: str) -> dict[str, tuple[str, ...]]:
@@ -69,6 +71,10 @@ class Vocabulary:
         """(subclass, superclass, steps) of the reflexive transitive closure."""
         return [(c, a, len(chain) - 1) for c in self.classes() for a, chain in self.ancestors(c).items()]
 
+    def equivalents(self, name: str) -> list[str]:
+        """Classes declared the same as ``name``, in either order."""
+        return sorted({b for a, b in self.equivalent if a == name} | {a for a, b in self.equivalent if b == name})
+
     def are_disjoint(self, a: str, b: str) -> bool:
         """Whether superclasses of both are declared disjoint."""
         up_a, up_b = self.ancestors(a), self.ancestors(b)
@@ -179,6 +185,8 @@ def _commerce() -> Vocabulary:
         disjoint=(("Place", "Party", "Item", "Record"), ("OpenOrder", "FilledOrder", "PartialOrder"), ("Customer", "Supplier")),
         codes={"priority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")},
         repeated=frozenset({"lineitem"}),
+        equivalent=(("Customer", "Buyer"), ("Item", "Good")),
+        subproperties={"locatedIn": "situatedIn", "suppliedFrom": "situatedIn", "inRegion": "situatedIn", "lineFrom": "involves", "lineForPart": "involves"},
     )
 
 
