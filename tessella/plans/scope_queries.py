@@ -72,7 +72,7 @@ def best_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 _PLAIN = "regexp_replace(regexp_replace({}, '[《》\\s]', '', 'g'), '(?:（[^（）]*）|\\([^()]*\\)|第[一二三四五六七八九十0-9]+[版期])+$', '')"
 SQL: dict[str, str] = {
-    "scope_union": "select distinct l_partkey as part, s_nationkey as nation from lineitem join supplier on l_suppkey = s_suppkey where l_partkey <= 20 union select l_partkey, c_nationkey from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_partkey <= 20",
+    "scope_union": "select distinct l_partkey as part, s_nationkey as nation from lineitem join supplier on l_suppkey = s_suppkey union select l_partkey, c_nationkey from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey",
     "title_mentions": f"with q as (select distinct id, {_PLAIN.format('t')} as name from (select id, unnest(regexp_extract_all(question, '《([^《》]+)》', 1)) as t from questions)), d as (select distinct document_id, {_PLAIN.format('title')} as name from document_versions where title is not null) select id, document_id, name from q join d using (name) where name <> ''",
     "chunk_locators": "with c as (select distinct chunk_id, version_id, section, status, locator_json from rag_chunks), x as (select *, try_cast(json_extract_string(locator_json, '$.page') as int) as page, try_cast(json_extract_string(locator_json, '$.ordinal') as int) as ordinal from c) select chunk_id, version_id, page, ordinal from x where page > 0 and ordinal >= 0 and section is not null and status = 'verified'",
     "evidence_budget": f"select q, d, rk, used, used <= 4000 as within from (select q, d, rk, sum(n_chars) over (partition by q order by rk rows unbounded preceding)::bigint as used from ({r.SQL['bm25_topk']}) join documents on d = doc_id)",

@@ -44,6 +44,7 @@ class Vocabulary:
     repeated: frozenset[str] = frozenset()
     equivalent: tuple[tuple[str, str], ...] = ()
     subproperties: dict[str, str] = field(default_factory=dict)
+    restrictions: tuple[tuple[str, str, str, object], ...] = ()
 
     # -- closures over the schema -----------------------------------------------------
     def ancestors(self, name: str) -> dict[str, tuple[str, ...]]:
@@ -186,6 +187,10 @@ def _commerce() -> Vocabulary:
         codes={"priority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")},
         repeated=frozenset({"lineitem"}),
         equivalent=(("Customer", "Buyer"), ("Item", "Good")),
+        restrictions=(
+            ("Order", "placedBy", "some", ("class", "Customer")), ("Order", "placedBy", "exactly", (1, None)), ("LineItem", "lineOf", "some", ("class", "Order")),
+            ("Nation", "inRegion", "only", ("class", "Region")), ("Record", "involves", "only", ("or", (("class", "Party"), ("class", "Item")))), ("Event", "eventOf", "max", (1, ("class", "Customer"))),
+        ),
         subproperties={"locatedIn": "situatedIn", "suppliedFrom": "situatedIn", "inRegion": "situatedIn", "lineFrom": "involves", "lineForPart": "involves"},
     )
 
