@@ -71,3 +71,16 @@ def content_id(prefix: str, *columns: Column) -> Column:
 def local_name(column: Column) -> Column:
     """What follows the last '#' or '/' of an identity."""
     return F.regexp_extract(column, r"([^#/]*)$", 1)
+
+
+def NUMERAL(n: int) -> str:  # noqa: N802
+    """A whole number from 1 to 9999 in Chinese, as articles are counted: what ``numeral`` reads back."""
+    out, zero = "", False
+    for unit, name in ((1000, "千"), (100, "百"), (10, "十"), (1, "")):
+        d, n = divmod(n, unit)
+        if d:
+            out += ("零" if zero and out else "") + ("" if d == 1 and unit == 10 and not out else "一二三四五六七八九"[d - 1]) + name
+            zero = False
+        elif out:
+            zero = True
+    return out

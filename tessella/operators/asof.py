@@ -73,11 +73,12 @@ def asof_join(events: DataFrame, changes: DataFrame, block: int = BLOCK) -> Data
     changes count once; of changes recorded on the same day the greater ``change_id``
     wins; either side may be empty. Other columns, whatever their names, are ignored.
     """
-    e = events.select("event_id", "entity", "at").dropna().distinct()
-    c = changes.select("entity", "change_id", "recorded", "start", "end").dropna(subset=["entity", "change_id", "recorded"]).distinct()
+    # Written once, the few columns needed: they are counted before they are dealt.
+    e = checkpointed(events.select("event_id", "entity", "at").dropna().distinct())
+    c = checkpointed(changes.select("entity", "change_id", "recorded", "start", "end").dropna(subset=["entity", "change_id", "recorded"]).distinct())
     e_count = e.groupBy("entity").agg(F.count("*").alias("ne"), F.ceil(F.count("*") / block).alias("e_slices"))
     c_count = c.groupBy("entity").agg(F.count("*").alias("nc"), F.ceil(F.count("*") / block).alias("c_slices"))
-    counted = checkpointed(e_count.join(c_count, "entity"))
+    counted = e_count.join(c_count, "entity")
     grid, sizes = counted.select("entity", "e_slices", "c_slices"), counted
     days = lambda x: F.datediff(x, F.lit("1970-01-01").cast("date")).cast("long")
     e = e.join(grid, "entity").select("entity", "event_id", days(F.col("at")).alias("at"), "e_slices", "c_slices")

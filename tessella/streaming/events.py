@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see: under spark.checkpoint.dir, in local tests beside the warehouse."""
-    own = f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
-    return f"{spark.conf.get('spark.checkpoint.dir', own)}/{name}-{uuid.uuid4().hex}"
+from tessella.sources.tables import existing, shared_folder
 
 
 def windowed_counts(events: DataFrame, time: str, group: str, value: str, width: str = "1 day", late: str = "10 days") -> DataFrame:
