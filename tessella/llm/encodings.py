@@ -242,7 +242,7 @@ class Search:
                         out += [text[pos:a], after]
                         pos = b
                 if out:
-                    some = True
+                    some = some or common
                     yield "".join([*out, text[pos:]])
 
     def _multi(self, line: str, wrong: str) -> Iterator[str]:

@@ -177,8 +177,8 @@ _PAGE_LIKE = re.compile(r"(?m)^[ \t]*(?:\W{0,2} ?\d{1,4} ?\W{0,2}|第 ?\d{1,4} ?
 class Confusions:
     """What is learnt of Han characters: ``back``, each misread character with what it stands for, best first; ``sure``, those that are hardly anything else; ``follows`` and ``precedes``, the usual neighbours of characters with their numbers."""
 
-    def __init__(self, back: dict[str, list[str]] | None = None, sure: frozenset[str] = frozenset(), pairs: dict[str, int] | None = None):
-        self.back, self.sure, self.pairs = back or {}, sure, pairs or {}
+    def __init__(self, back: dict[str, list[str]] | None = None, sure: frozenset[str] = frozenset(), pairs: dict[str, int] | None = None, few: int = SEEN):
+        self.back, self.sure, self.pairs, self.few = back or {}, sure, pairs or {}, few
         self.spot = re.compile("[" + "".join(map(re.escape, sorted(self.back))) + "]") if self.back else re.compile("(?!)")
         self.follows: dict[str, dict[str, int]] = defaultdict(dict)
         self.precedes: dict[str, dict[str, int]] = defaultdict(dict)
@@ -196,7 +196,7 @@ class Confusions:
         if not a or not b:
             return None
         both = sorted(((min(a[x], b[x]), x) for x in (a if len(a) < len(b) else b) if x in a and x in b), reverse=True)
-        return both[0][1] if both and both[0][0] >= SEEN and (len(both) == 1 or both[0][0] >= 3 * both[1][0]) else None
+        return both[0][1] if both and both[0][0] >= self.few and (len(both) == 1 or both[0][0] >= 3 * both[1][0]) else None
 
     def better(self, line: str, at: int) -> list[str]:
         """What a misread character may stand for in its place: what is far more usual beside its neighbours than it is."""
@@ -633,7 +633,8 @@ def _unpacked(t: int) -> str:
 def learnt(counts: dict[int, int]) -> Confusions:
     """Confusions from trigram counts held in one place: those of a few texts."""
     contexts: dict[tuple[str, str], list[tuple[int, str]]] = defaultdict(list)
-    pairs: dict[str, int] = defaultdict(int)
+    left: dict[str, int] = defaultdict(int)
+    right: dict[str, int] = defaultdict(int)
     single: dict[str, int] = defaultdict(int)
     for t, n in counts.items():
         if t & NONE == NONE:
@@ -641,20 +642,29 @@ def learnt(counts: dict[int, int]) -> Confusions:
             continue
         a, c, b = _unpacked(t)
         contexts[a, b].append((n, c))
-        pairs[a + c] += n
+        left[a + c] += n
+        right[c + b] += n
     found: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    few = support(sum(n for t, n in counts.items() if t & NONE != NONE))
     for seen in contexts.values():
         n, x = max(seen)
-        if n >= SEEN and n >= SHARE * sum(m for m, _ in seen):
+        if n >= few and n >= SHARE * sum(m for m, _ in seen):
             for m, c in seen:
                 if c != x and m * RARER <= n:
                     found[c, x][0] += 1
                     found[c, x][1] += m
     rows = [(c, x, k, n, single[c]) for (c, x), (k, n) in found.items() if k >= CONTEXTS]
-    return confusions(rows, {p: n for p, n in pairs.items() if n >= 3})
+    # A pair begins or ends a trigram; at the end of a run it only ends one.
+    pairs = {p: max(left.get(p, 0), right.get(p, 0)) for p in {*left, *right}}
+    return confusions(rows, {p: n for p, n in pairs.items() if n >= 3}, few)
 
 
-def confusions(rows: list[tuple[str, str, int, int, int]], pairs: dict[str, int]) -> Confusions:
+def support(total: int) -> int:
+    """How often what stands for a context must be seen: ``SEEN`` times, less where there are few texts at all."""
+    return min(SEEN, 3 + total // 50_000)
+
+
+def confusions(rows: list[tuple[str, str, int, int, int]], pairs: dict[str, int], few: int = SEEN) -> Confusions:
     """Confusions from rows (character, what it stands for, contexts, places, all places of the character)."""
     back: dict[str, list[str]] = defaultdict(list)
     explained: dict[str, float] = defaultdict(float)
@@ -665,7 +675,7 @@ def confusions(rows: list[tuple[str, str, int, int, int]], pairs: dict[str, int]
         if n >= EXPLAINED * every:
             back[c].append(x)
             explained[c] += n / max(1, every)
-    return Confusions({c: x for c, x in back.items() if x}, frozenset(c for c, e in explained.items() if e >= 0.5), pairs)
+    return Confusions({c: x for c, x in back.items() if x}, frozenset(c for c, e in explained.items() if e >= 0.5), pairs, few)
 
 
 def _masks(lines: list[str]) -> tuple[list[str], dict[str, int]]:
@@ -707,15 +717,18 @@ def corpus_confusions(df: DataFrame, text: str) -> Confusions:
     every = g.where(F.col("a") == NONE).select("c", F.col("n").alias("every"))
     g = g.where(F.col("a") != NONE)
     total = g.agg(F.sum("n")).first()[0] or 0
-    least = max(SEEN, total * LEAST_SHARE)
+    few = support(int(total))
+    least = max(few, total * LEAST_SHARE)
     usual = g.groupBy("a", "b").agg(F.max_by("c", F.struct("n", "c")).alias("x"), F.max("n").alias("top"), F.sum("n").alias("s")).where((F.col("top") >= least) & (F.col("top") >= SHARE * F.col("s")))
     rare = g.join(usual, ["a", "b"]).where((F.col("c") != F.col("x")) & (F.col("n") * RARER <= F.col("top")))
     pairs = rare.groupBy("c", "x").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where(F.col("k") >= CONTEXTS)
     char = lambda n: chr(0x4E00 + n)
     # Pairs that explain a tenth of a character's places: at most ten a character.
     rows = [(char(r.c), char(r.x), r.k, r.n, r.every) for r in pairs.join(every, "c").where(F.col("n") >= EXPLAINED * F.col("every")).collect()]
-    bigrams = g.groupBy("a", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, total * LEAST_SHARE)).collect()
-    return confusions(rows, {char(r.a) + char(r.c): r.n for r in bigrams})
+    # A pair begins or ends a trigram; at the end of a run it only ends one.
+    pair = g.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("c").alias("y"), F.col("n").alias("l"), F.lit(0).cast("long").alias("r")), F.struct(F.col("c").alias("x"), F.col("b").alias("y"), F.lit(0).cast("long").alias("l"), F.col("n").alias("r")))))
+    bigrams = pair.groupBy("x", "y").agg(F.greatest(F.sum("l"), F.sum("r")).alias("n")).where(F.col("n") >= max(3, total * LEAST_SHARE)).collect()
+    return confusions(rows, {char(r.x) + char(r.y): r.n for r in bigrams}, few)
 
 
 def trained(df: DataFrame, text: str, sample: int = SAMPLE) -> Editor:
@@ -743,7 +756,7 @@ def repaired(df: DataFrame, keys: list[str], text: str, only_found: bool = False
     vocabulary; editing is one narrow pass.
     """
     editor = trained(df, text, sample)
-    shared = df.sparkSession.sparkContext.broadcast((editor.chars.weights, editor.joins.weights, editor.furniture.weights, editor.words, (editor.han.back, editor.han.sure, editor.han.pairs)))
+    shared = df.sparkSession.sparkContext.broadcast((editor.chars.weights, editor.joins.weights, editor.furniture.weights, editor.words, (editor.han.back, editor.han.sure, editor.han.pairs, editor.han.few)))
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,8 +73,13 @@ def test_evolution_never_gets_worse():
     rng = random.Random(1)
     sizes = [rng.randint(10, 70) for _ in range(300)]
     first = packing.best_fit(list(range(300)), sizes, 100, [])
-    best = packing.evolve(sizes, 100, [first], rng)
-    assert len(best) <= len(first) and sorted(i for b in best for i in b) == list(range(300))
+    people = packing.evolve(sizes, 100, [first], rng)
+    assert len(people) == packing.POPULATION
+    for p in people:
+        assert sorted(i for b in p for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= 100 for b in p)
+    assert len(people[0]) <= len(first)
+    again = packing.evolve(sizes, 100, people, rng)
+    assert packing.fitness(again[0], sizes, 100) >= packing.fitness(people[0], sizes, 100)
 
 
 def test_overlaps_find_repeats_and_not_other_questions(spark):
@@ -105,5 +110,62 @@ def test_editor_knows_words_outside_its_sample(spark):
     df = frame(spark, [(str(i), t) for i, t in enumerate(texts)])
     words = scans.trained(df, "t", sample=10).words
     assert {"figures", "quarter", "trustee"} <= words and "figurcs" not in words
-    counts = {r.w: r.n for r in scans.word_counts(df.unionByName(df), "t").collect()}
+    counts = {r.w: r.n for r in scans.word_counts(df.unionByName(df), "t", frozenset()).collect()}
     assert counts["figures"] == 200 and counts["quarter"] == 203
+
+
+def test_repeats_without_numbers_and_with_slips(spark):
+    a, b = "基金管理人可以拒绝投资者的赎回申请吗？", "Which fees may the custodian charge to the holders of the fund?"
+    rows = [("t1", a, "train"), ("t2", b, "train"), ("e1", a.replace("的", "的的"), "dev"), ("e2", "劳驾，" + a, "dev"), ("e3", b.replace("the", "teh", 1).replace("holders", "hodlers"), "test"), ("e4", a.replace("赎回", "申购"), "test"), ("e5", b.replace("custodian", "manager"), "test")]
+    got = {(r.eval_id, r.train_id) for r in leakage.overlaps(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s").collect()}
+    assert got == {("e1", "t1"), ("e2", "t1"), ("e3", "t2")}
+
+
+def test_repeats_do_not_depend_on_shards(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    fact = lambda: f"{''.join(rng.choice('甲乙丙丁戊己庚辛壬癸') for _ in range(5))}医院在第12周登记住院病人，值班护士应当怎样核对处方剂量？"
+    base = [fact() for _ in range(40)]
+    rows = [(f"t{i}", x, "train") for i, x in enumerate(base)] + [(f"e{i}", x.replace("登记", "登登记") if i % 2 else x.replace("剂量", "量剂"), "dev") for i, x in enumerate(base)]
+    df = spark.createDataFrame(rows, "k string, t string, s string")
+    found = lambda: {(r.eval_id, r.train_id) for r in leakage.overlaps(df, "k", "t", "s").collect()}
+    whole = found()
+    assert whole >= {(f"e{i}", f"t{i}") for i in range(40)}
+    monkeypatch.setattr(leakage, "SHARD", 7)
+    monkeypatch.setattr(leakage, "BLOCK", 9)
+    assert found() == whole
+
+
+def test_overlap_classes_say_links_without_pairs_of_copies(spark):
+    q = "截至2010年10月19日，甲乙基金已连续385个工作日规模低于3179326元。是否需要披露？"
+    rows = [(f"t{i}", q, "train") for i in range(30)] + [(f"e{i}", q, "dev") for i in range(20)]
+    links, members = leakage.overlap_classes(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s")
+    assert links.count() == 1 and members.count() == 50
+
+
+def test_cut_endings_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    texts = {
+        "sentence": "基金管理人应当报告。" + " " * 2500, "structure": "正文。\n（" + "注" * 2500 + "）", "broken": "基金管理人应当在" + "很" * 3000 + "报",
+    }
+    df = spark.createDataFrame(list(texts.items()), "want string, t string")
+    assert all(r.want == r.got for r in df.select("want", truncation.ending(F.col("t")).alias("got")).collect())
+    row = "| " + "甲" * 2500 + " | 乙 |"
+    assert spark.createDataFrame([(row,)], "t string").select(truncation.ending(F.col("t")).alias("k")).first().k == "structure"
+
+
+def test_once_keeps_one_row_of_a_key(spark):
+    from tessella.llm.queries import once
+
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), (None, "z")], "k string, t string")
+    assert sorted(map(tuple, once(df, "k").collect()), key=str) == sorted([("a", "x"), ("b", "y"), (None, "z")], key=str)
+
+
+def test_form_classes(spark):
+    df = spark.createDataFrame([("t", "1", "净值ａ"), ("t", "2", "净值a"), ("t", "3", "净值a"), ("t", "4", "别的")], "g string, k string, t string")
+    got = forms.form_classes(forms.form_members(df, "k", "t", "g")).collect()
+    assert [(r.n_spellings, r.n_records) for r in got] == [(2, 3)]
+    pairs = {(r.id_a, r.id_b) for r in forms.lookalikes(df, "k", "t", "g", salted=1).collect()}
+    assert pairs == {("1", "2"), ("1", "3")}

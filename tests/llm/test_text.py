@@ -90,23 +90,70 @@ def test_null_and_plain_text_stay():
 
 
 # -- 4 ------------------------------------------------------------------------------------
-def test_editor_on_held_out_noise():
+def hospital(rng):
+    """A text that has nothing of the corpus: its words, its misreadings and its places are of another domain."""
+    who = ["值班护士", "主治医师", "住院医生", "社区医院", "门诊登记员"]
+    what = ["核对处方剂量", "登记慢性病人", "检查急救药品", "保管麻醉药品", "清点草药柜", "填写手术记录"]
+    where = ["重症病房", "传染病区", "精神病院", "内科楼", "外科楼", "儿科楼", "骨科楼", "中药房", "西药房", "中医馆", "军医处"]
+    line = lambda: f"{rng.choice(who)}应当在{rng.randint(2, 60)}分钟内到{rng.choice(where)}{rng.choice(what)}，未经科室主任同意不得离开{rng.choice(where)}。"
+    return "\n".join("".join(line() for _ in range(rng.randint(2, 4))) for _ in range(3))
+
+
+MISREAD = dict(zip("医药病科", "匠约柄料"))
+
+
+def misread(t, rng, share=1.0):
+    places = [k for k, c in enumerate(t) if c in MISREAD]
+    for k in rng.sample(places, min(len(places), 2)):
+        if rng.random() < share:
+            t = t[:k] + MISREAD[t[k]] + t[k + 1 :]
+    return t
+
+
+def test_editor_learns_misreadings_of_another_domain():
     rng = random.Random(5)
-    funds, acts = ["基金管理人", "基金托管人", "销售机构"], ["核对投资指令", "登记资金划拨指令", "披露净值公告", "确认份额"]
-    line = lambda: f"{rng.choice(funds)}应当于{rng.randint(2, 60)}个交易日内{rng.choice(acts)}，未经账户持有人同意不得延期。"
-    make = lambda: "\n".join("".join(line() for _ in range(rng.randint(2, 4))) for _ in range(3))
-    editor = scans.Editor.train([make() for _ in range(150)])
-    clean = [make() for _ in range(60)]
-    assert sum(sum(editor.edit(t)[1:]) > 0 for t in clean) <= 1
-    found = 0
-    for t in clean:
-        noisy = "\n".join(p for x in t.split("\n") for p, _ in scans.wrapped(x, rng, 24)).replace("基", "墓", 2)
-        new, chars, joins, _ = editor.edit(noisy)
-        found += chars > 0 and joins > 0
-    assert found >= 57
+    corpus = [misread(hospital(rng), rng) if rng.random() < 0.25 else hospital(rng) for _ in range(900)]
+    han = scans.learnt(dict(scans.trigram_counts(corpus)))
+    assert {c: x[0] for c, x in han.back.items()}.items() >= {b: a for a, b in MISREAD.items()}.items()
+    clean = [t for t in corpus if scans.looks_clean(t, han.sure)]
+    editor = scans.Editor.train(clean[:300], confusions=han)
+    held = [hospital(rng) for _ in range(80)]
+    assert sum(sum(editor.edit(t)[1:]) > 0 for t in held) <= 1
+    restored = wrapped = 0
+    for t in held:
+        noisy = misread(t, rng)
+        new, chars, _, _ = editor.edit(noisy)
+        restored += noisy == t or new == t
+        broken = "\n".join(p for x in t.split("\n") for p, _ in scans.wrapped(x, rng, 24))
+        wrapped += editor.edit(broken)[2] > 0
+    assert restored >= 76 and wrapped >= 76
     assert editor.edit("") == ("", 0, 0, 0)
 
 
+def test_what_fits_no_neighbour_is_put_right_without_a_list():
+    rng = random.Random(6)
+    corpus = [hospital(rng) for _ in range(900)]
+    editor = scans.Editor.train(corpus[:300], confusions=scans.learnt(dict(scans.trigram_counts(corpus))))
+    right = "值班护士应当在30分钟内到重症病房检查急救药品。"
+    for wrong in (right.replace("急救药", "急球药"), right.replace("到重症", "到重征")):
+        assert editor.edit(wrong)[0] == right
+    assert editor.edit(right.replace("检查急救药品", "检查心电图机"))[1] == 0
+
+
+def test_running_header_without_numbers():
+    rng = random.Random(7)
+    corpus = [hospital(rng) for _ in range(600)]
+    editor = scans.Editor.train(corpus[:300])
+    body = [p for t in (hospital(rng), hospital(rng)) for x in t.split("\n") for p, _ in scans.wrapped(x, rng, 24)]
+    lines = []
+    for k, x in enumerate(body):
+        lines.append(x)
+        if k % 7 == 4:
+            lines.append("医院管理手册")
+    new = editor.edit("\n".join(lines))[0]
+    assert "医院管理手册" not in new
+
+
 # -- 6 ------------------------------------------------------------------------------------
 def test_wordings():
     w = leakage.wording
@@ -180,3 +227,58 @@ def test_censored_fit_recovers_the_distribution():
     lengths, n = np.unique(cut, return_counts=True)
     mu, sigma = truncation.fit_lognormal(lengths, n, lengths == 1000)
     assert abs(mu - 6) < 0.03 and abs(sigma - 0.7) < 0.03
+
+
+# -- 1, 3, 7 --------------------------------------------------------------------------------
+def test_page_furniture_is_left_out():
+    page = """<html><body><div id="menu"><ul><li><a href="/">首页</a></li><li><a href="/a">公告</a></li></ul></div>
+<div id="main"><h1>门诊规范</h1><p>值班护士应当在每个工作日对处方进行核对，发现差异的应当立即报告主治医师，并在两个小时内更正。</p>
+<h2>第二节</h2><ul><li>第一项：药房应当保存处方不少于二十年。</li><li>第二项</li></ul><pre><code>SELECT a FROM b</code></pre><p>剂量公式 \\(D = A / B\\) 如上，应当由主治医师计算并由药房管理员复核。</p></div>
+<div id="side"><p>广告：免费体检</p><p>热线 400</p></div><footer><p>版权所有 2024</p></footer></body></html>"""
+    found, blocks = markup.clean(page)
+    kinds = [(k, s) for k, _, s in blocks]
+    assert found and ("heading", "门诊规范") in kinds and ("list_item", "第二项") in kinds and ("code", "SELECT a FROM b") in kinds and ("formula", "D = A / B") in kinds
+    said = markup.plain(blocks)
+    assert not any(x in said for x in ("首页", "广告", "热线", "版权"))
+
+
+def test_markup_has_no_length_limits():
+    assert markup.clean('<p class="' + "x" * 600 + '">文字</p>') == (True, [("paragraph", 0, "文字")])
+    assert markup.plain(markup.clean("[" + "长" * 250 + "](http://a.b/c)")[1]) == "长" * 250
+    deep = "<div>" * 3000 + "<h2>标题</h2><ul><li>甲</li><li>乙</li></ul>" + "</div>" * 3000
+    assert [k for k, _, _ in markup.clean(deep)[1]] == ["heading", "list_item", "list_item"]
+
+
+def test_greek_formulas_stay():
+    for t in ("σ=0.5", "α 与 γ", "ν→υ"):
+        assert forms.canonical(t) == t
+
+
+ORIGINAL = "值班护士应当在每个工作日核对处方剂量，发现差异的应当立即报告主治医师。"
+
+
+@pytest.mark.parametrize("wrong", ["mac_roman", "cp850", "iso8859_5", "cp866", "koi8_r", "cp437", "mac_cyrillic", "iso8859_2", "cp1252"])
+def test_many_wrong_readings_are_restored(wrong):
+    from collections import Counter
+
+    counts = Counter(ORIGINAL * 50 + "Plain words of a usual text. " * 50)
+    search = encodings.Search(encodings.Plausibility({ord(c): n for c, n in counts.items()}))
+    lost = ORIGINAL.encode("utf-8").decode(wrong, "replace")
+    assert encodings.garbled(lost, search.restore(lost))
+    if "\ufffd" not in lost:
+        assert search.restore(lost) == ORIGINAL
+    twice = ORIGINAL.encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1")
+    assert search.restore(twice) == ORIGINAL
+
+
+def test_foreign_texts_are_not_garbled():
+    search = encodings.Search(encodings.Plausibility({ord(c): 50 for c in ORIGINAL}))
+    for t in ("Это обычный русский текст о больнице.", "한국어 문장입니다", "Ελληνικά κείμενα", "Ça va très bien à Zürich"):
+        assert not encodings.garbled(t, search.restore(t))
+    assert encodings.codec(" UTF8 ") == "utf-8" and encodings.codec("GB2312") == "gb18030" and encodings.codec("nonsense") is None and encodings.codec(None) is None
+
+
+def test_evidence_is_fitted():
+    table = [(-4.0, "sentence", 800), (-4.0, "structure", 150), (-4.0, "broken", 50), (4.0, "broken", 40), (4.0, "sentence", 2)]
+    e = truncation.ending_evidence(table)
+    assert e["broken"] > 3 and e["sentence"] < -1 and e["structure"] < -1 and e["marked"] > 1
