@@ -228,6 +228,15 @@ class Compiler:
             return reduce((lambda a, b: a & b) if isinstance(c, And) else (lambda a, b: a | b), parts)
         return None
 
+    def _keys(self, at: str, c: Test | Exists) -> DataFrame:
+        """Keys for which a test holds for some value at the end of its path, or whose path leads somewhere."""
+        if isinstance(c, Exists):
+            return self._path(at, c.path)[1].select("key")
+        if not c.path:
+            return self.v.edges(self.spark, self.folder, c.property).where(compare(F.col("o"), c.op, c.value)).select(F.col("s").alias("key"))
+        _, pairs = self._path(at, c.path, carry={"_v": c.property})
+        return pairs.where(compare(F.col("_v"), c.op, c.value)).select("key")
+
     def _condition(self, at: str, rows: DataFrame, c: Any) -> DataFrame:
         """Rows of ``rows`` for which a condition tree holds. What a row says itself is a filter of its scan; AND narrows, OR flags, NOT is an anti join."""
         if (own := self._column(at, c)) is not None:
@@ -235,16 +244,11 @@ class Compiler:
         if isinstance(c, And):
             # Filters first: they reach the scan.
             return reduce(lambda d, x: self._condition(at, d, x), sorted(c.parts, key=lambda x: self._column(at, x) is None), rows)
-        if isinstance(c, Test):
-            if not c.path:
-                held = self.v.edges(self.spark, self.folder, c.property).where(compare(F.col("o"), c.op, c.value)).select(F.col("s").alias("key"))
-                return rows.join(held, "key", "left_semi")
-            to, pairs = self._path(at, c.path, carry={"_v": c.property})
-            return rows.join(pairs.where(compare(F.col("_v"), c.op, c.value)).select("key"), "key", "left_semi")
-        if isinstance(c, Exists):
-            return rows.join(self._path(at, c.path)[1].select("key"), "key", "left_semi")
+        if isinstance(c, (Test, Exists)):
+            return rows.join(self._keys(at, c), "key", "left_semi")
         if isinstance(c, Not):
-            return rows.join(self._condition(at, rows, c.inner).select("key"), "key", "left_anti")
+            held = self._keys(at, c.inner) if isinstance(c.inner, (Test, Exists)) else self._condition(at, rows, c.inner).select("key")
+            return rows.join(held, "key", "left_anti")
         if isinstance(c, Or):
             hits = reduce(lambda a, b: a.union(b), [self._condition(at, rows, x).select("key") for x in c.parts])
             return rows.join(hits, "key", "left_semi")

@@ -65,3 +65,39 @@ def test_days_in_several_writings(spark):
     rows = ["2024-05-01", "2024/5/1", "20240501", "2024年5月1日", " 2024-05-01 ", "２０２４-０５-０１", "2024-13-01", "", None, "May 2024"]
     got = [r.d for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string").orderBy("i").select(day(F.col("t")).alias("d")).collect()]
     assert got == [dt.date(2024, 5, 1)] * 6 + [None] * 4
+
+
+def test_runs_of_ended_changes_cost_no_walk():
+    import time
+
+    import numpy as np
+
+    from tessella.operators.asof import latest_valid
+
+    def run(n):
+        recorded, start, end = np.arange(n), np.arange(n), np.arange(n) + 1
+        end[0] = 1 << 40
+        at, first = np.full(n, n + 5), np.zeros(n, np.int64)
+        began = time.perf_counter()
+        found = latest_valid(recorded, start, end, at, first)
+        assert (found == 0).all()
+        return time.perf_counter() - began
+
+    run(1000)
+    assert run(40_000) < 40 * max(run(4_000), 0.002)
+
+
+def test_sweep_against_brute_force():
+    import numpy as np
+
+    from tessella.operators.asof import latest_valid
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = 30
+        recorded = np.sort(rng.integers(0, 20, n))
+        start, at = rng.integers(0, 20, n), rng.integers(0, 25, 40)
+        end = start + rng.integers(0, 6, n)
+        got = latest_valid(recorded, start, end, at, np.zeros(40, np.int64))
+        want = [max([i for i in range(n) if recorded[i] <= t and start[i] <= t < end[i]], default=-1) for t in at]
+        assert got.tolist() == want

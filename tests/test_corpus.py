@@ -81,12 +81,46 @@ def test_import_is_idempotent_and_all_or_nothing(spark, tmp_path):
     good = ("v1", "d1", "t", "p", "corpus://x", "a" * 64, "2020-01-01", "verified", "synthetic")
     path = str(tmp_path / "store")
     df = spark.createDataFrame([good], cols)
-    corpus.append_versions(df, path)
-    corpus.append_versions(df, path)
-    assert spark.read.parquet(path).count() == 1
-    with pytest.raises(ValueError, match="title"):
-        corpus.append_versions(spark.createDataFrame([("v2", "d2", None, *good[3:5], "b" * 64, *good[6:]), ("v3", "d3", "t", *good[3:5], "c" * 64, *good[6:])], cols), path)
-    assert spark.read.parquet(path).count() == 1
+    assert corpus.import_manifest(df, path, "a") == "completed" and corpus.import_manifest(df, path, "b") == "completed"
+    bad = spark.createDataFrame([("v2", "d2", None, *good[3:5], "b" * 64, *good[6:]), ("v3", "d3", "t", *good[3:5], "c" * 64, *good[6:])], cols)
+    assert corpus.import_manifest(bad, path, "c") == "failed" and corpus.import_manifest(bad.limit(0), path, "d") == "failed"
+    assert corpus.stored(spark, path).count() == 1
+    runs = {r.run: (r.status, r.n_rows, r.n_errors, r.n_inserted, r.n_reused) for r in spark.read.parquet(f"{path}/runs").collect()}
+    assert runs == {"a": ("completed", 1, 0, 1, 0), "b": ("completed", 1, 0, 0, 1), "c": ("failed", 2, 1, 0, 0), "d": ("failed", 0, 0, 0, 0)}
+
+
+def test_snapshots_are_for_good(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    v = spark.createDataFrame([("d1", "v1", "authoritative_original", "verified", "2020-01-01"), ("d1", "v2", "authoritative_original", "verified", "2021-01-01"), ("d2", "v3", "synthetic", "unverified", None)], "document_id string, version_id string, authority string, status string, issued string")
+    v = v.withColumn("issued", F.col("issued").cast("date"))
+    pick = lambda *ids: v.where(F.col("version_id").isin(*ids)).select("document_id", "version_id")
+    path = str(tmp_path)
+    for _ in range(2):
+        assert corpus.publish(pick("v1"), v, "trusted", "s", path).count() == 1
+    with pytest.raises(ValueError, match="another membership"):
+        corpus.publish(pick("v2"), v, "trusted", "s", path)
+    with pytest.raises(ValueError, match="kind"):
+        corpus.published(pick("v3"), v, "trusted")
+    with pytest.raises(ValueError, match="second version"):
+        corpus.published(pick("v1", "v2"), v, "trusted")
+    with pytest.raises(ValueError, match="member"):
+        corpus.published(pick("zz"), v, "regression")
+
+
+def test_articles_and_body_sections():
+    t = "序言\n第一章 总则\n第一条 甲。\n乙。\n\n第二条\u3000丙。\n第二章 附则\n第三条 丁。\n"
+    got = markup_files.articles(t, 3)
+    assert [(t[a:b], n, c) for a, b, n, c in got] == [("第一条 甲。\n乙。", 1, "第一章 总则"), ("第二条\u3000丙。", 2, "第一章 总则"), ("第三条 丁。", 3, "第二章 附则")]
+    for bad in ("第二条 甲", "第一条 甲\n第三条 乙", "没有"):
+        with pytest.raises(markup_files.SectionError):
+            markup_files.articles(bad)
+    m = "# 标题\n来源\n## 第一章 总则\n### 第一条 甲。\n说明在此。\n### 第二条 乙。\n附件：\n表格\n"
+    got = markup_files.body_sections(m, 3, 2)
+    assert [(m[a:b], h) for a, b, h in got] == [("### 第一条 甲。\n说明在此。", "第1条"), ("### 第二条 乙。\n", "第2条"), ("附件：\n表格", "supplementary_body")]
+    assert [h for _, _, h in markup_files.body_sections("x\n# A\na\n# B\nb", 1, None)] == ["document", "A", "B"]
+    with pytest.raises(markup_files.SectionError):
+        markup_files.body_sections("a", 2, None)
 
 
 def test_covered_length_counts_overlaps_once(spark):
