@@ -84,3 +84,23 @@ def NUMERAL(n: int) -> str:  # noqa: N802
         elif out:
             zero = True
     return out
+
+
+def token_estimate(text: Column) -> Column:
+    """About how many tokens a text has: one for each run of ASCII word letters, one for each other character. Null gives null."""
+    runs = F.regexp_count(text, F.lit("[A-Za-z0-9_-]+"))
+    return runs + F.length(F.regexp_replace(text, "[A-Za-z0-9_-]+", ""))
+
+
+def strict_day(text: Column) -> Column:
+    """The day of a text that is written YYYY-MM-DD and is one; null otherwise."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def normal_url(url: Column) -> Column:
+    """An address in one form: scheme and host in lower case, no default port, no fragment, no slash at the end, parameters sorted."""
+    head = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*", 0))
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.concat(head, path), r"^(http://[^/:]*):80(/|$)", "$1$2"), r"^(https://[^/:]*):443(/|$)", "$1$2")
+    asked = F.regexp_extract(url, r"\?([^#]*)", 1)
+    return F.concat(plain, F.when(asked != "", F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(asked, "&")), "&"))).otherwise(""))

@@ -29,7 +29,7 @@ def transitive_closure(edges: DataFrame, most: int = 32) -> DataFrame:
             return found
         if step > most:
             raise ValueError(f"paths of more than {most} steps")
-        found = checkpointed(found.unionByName(new))
+        found = found.unionByName(new)  # each round is written once, as what it adds
     return found
 
 

@@ -76,7 +76,7 @@ SQL: dict[str, str] = {
     "title_mentions": f"with q as (select distinct id, {_PLAIN.format('t')} as name from (select id, unnest(regexp_extract_all(question, '《([^《》]+)》', 1)) as t from questions)), d as (select distinct document_id, {_PLAIN.format('title')} as name from document_versions where title is not null) select id, document_id, name from q join d using (name) where name <> ''",
     "chunk_locators": "with c as (select distinct chunk_id, version_id, section, status, locator_json from rag_chunks), x as (select *, try_cast(json_extract_string(locator_json, '$.page') as int) as page, try_cast(json_extract_string(locator_json, '$.ordinal') as int) as ordinal from c) select chunk_id, version_id, page, ordinal from x where page > 0 and ordinal >= 0 and section is not null and status = 'verified'",
     "evidence_budget": f"select q, d, rk, used, used <= 4000 as within from (select q, d, rk, sum(n_chars) over (partition by q order by rk rows unbounded preceding)::bigint as used from ({r.SQL['bm25_topk']}) join documents on d = doc_id)",
-    "window_invariants": f"select count(*) as n_windows, 0::bigint as n_broken from ({r.SQL['chunk_windows']})",
+    "window_invariants": f"with c as ({r.SQL['chunk_windows']}), w as (select c.*, length(d.text) as n, lead(c.start) over (partition by c.doc_id order by c.chunk_no) as after from c join documents d using (doc_id)) select count(*) as n_windows, sum((stop - start > 400 or (after is not null and stop - after <> 80) or (after is null and stop <> n))::int)::bigint as n_broken from w",
     "best_labels": "with v as (select distinct document_id, title, publisher from document_versions) select document_id, coalesce(arg_max(title, (length(title), title)), arg_max(publisher, (length(publisher), publisher)), document_id) as label from v group by document_id",
 }
 

@@ -71,8 +71,7 @@ def bigram_faithfulness(spark: SparkSession, folder: str) -> DataFrame:
 def quality_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks by type, authority and status in all combinations, with subtotals."""
     c = table(spark, folder, "rag_chunks").select("chunk_id", "doc_type", "authority", "status").distinct()
-    g = c.cube("doc_type", "authority", "status").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
-    return g.where("level in (0, 3, 7)")
+    return c.cube("doc_type", "authority", "status").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
 def class_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +100,7 @@ SQL: dict[str, str] = {
     "case_matches": "with o as (select distinct id, allowed_doc_ids from oracle_rows), q as (select distinct id, doc_ids from questions) select list_sort(list_distinct(coalesce(allowed_doc_ids, []))) = list_sort(list_distinct(coalesce(doc_ids, []))) as equal, count(*) as n from o join q using (id) group by 1",
     "block_spans": "with b as (select distinct block_id, version_id, block_index, content.page_idx as page, content.bbox as box, length(content.text) as n from review_blocks), g as (select * from b where len(box) = 4 and list_min(box) >= 0 and list_max(box) <= 1000 and box[1] < box[3] and box[2] < box[4] and n > 0), s as (select *, coalesce(sum(n + 1) over (partition by version_id order by page, block_index, block_id rows between unbounded preceding and 1 preceding), 0) as start from g) select block_id, version_id, start::bigint as start, (start + n)::bigint as stop from s",
     "bigram_faithfulness": f"with c as (select distinct chunk_id, section, text from rag_chunks where section is not null and text is not null), t as (select chunk_id, list_distinct({_tok('section')}) as a, list_distinct({_tok('text')}) as b from c), x as (select chunk_id, round(len(list_intersect(a, b)) / len(a), 6) as share from t where len(a) > 0) select chunk_id, share, share >= 0.6 as faithful from x",
-    "quality_by_source": "with c as (select distinct chunk_id, doc_type, authority, status from rag_chunks) select doc_type, authority, status, count(*) as n, grouping(doc_type, authority, status)::int as level from c group by grouping sets ((doc_type, authority, status), (doc_type), ())",
+    "quality_by_source": "with c as (select distinct chunk_id, doc_type, authority, status from rag_chunks) select doc_type, authority, status, count(*) as n, grouping(doc_type, authority, status)::int as level from c group by cube (doc_type, authority, status)",
     "asked_top_customers": "select entity, value, rk from (select entity, value, row_number() over (order by value desc, entity) as rk from (select 'customer/' || c_custkey as entity, count(distinct o_orderkey) as value from customer join orders on o_custkey = c_custkey group by 1)) where rk <= 10",
 }
 

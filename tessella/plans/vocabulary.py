@@ -76,6 +76,23 @@ class Vocabulary:
         """Classes declared the same as ``name``, in either order."""
         return sorted({b for a, b in self.equivalent if a == name} | {a for a, b in self.equivalent if b == name})
 
+    def codes_for(self, name: str, phrase: str) -> tuple[str, ...]:
+        """The codes of an ordered list that a phrase means: 'X', 'X or more', 'X or less', 'above X', 'below X'; X is a code or its word."""
+        codes, low = self.codes[name], phrase.lower()
+        at = [k for k, c in enumerate(codes) if c.lower() in low or c.split("-", 1)[-1].lower() in low]
+        if len(at) != 1:
+            raise ValueError(f"{phrase!r} names no single code of {name}")
+        k = at[0]
+        if "or more" in low or "及以上" in low:
+            return codes[: k + 1]
+        if "or less" in low or "及以下" in low:
+            return codes[k:]
+        if "above" in low or "以上" in low:
+            return codes[:k]
+        if "below" in low or "以下" in low:
+            return codes[k + 1 :]
+        return (codes[k],)
+
     def are_disjoint(self, a: str, b: str) -> bool:
         """Whether superclasses of both are declared disjoint."""
         up_a, up_b = self.ancestors(a), self.ancestors(b)
