@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import encodings, forms, leakage, markup, packing, pieces, scans, tokens, truncation
@@ -73,6 +73,15 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, single=True)
 
 
+def p2_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text put together again from its pieces, each without what it shares with the one before: its characters and hash."""
+    own = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substr("piece", F.col("before") - F.col("start") + 1))
+    w = Window.partitionBy("table_name", "field_name", "record_id").orderBy("piece_no")  # the pieces of one text
+    d = _pieces(spark, folder, single=True).withColumn("before", F.lag("stop").over(w)).select("table_name", "field_name", "record_id", "piece_no", own.alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
+    return d.groupBy("table_name", "field_name", "record_id").agg(whole.alias("t")).select("table_name", "field_name", "record_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("sha256"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with a text above its limit: those that come out in more than one piece."""
     return _pieces(spark, folder).where("piece_no = 1").select("table_name", "field_name", "record_id").distinct()
@@ -182,7 +191,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_pieces": p2_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_counts": p6_counts, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_pieces": p2_pieces, "p2_rejoined": p2_rejoined, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_counts": p6_counts, "p7_restored": p7_restored, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_filling": p9_filling, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {
     "p2_found": """
 with f as (
@@ -192,5 +201,10 @@ with f as (
 select distinct f.table_name, f.field_name, f.record_id
 from f join size_limits l on l.table_name = f.table_name and l.field_name = f.field_name and l.purpose = 'piece'
 where length(f.t) > l.max_size
+""",
+    "p2_rejoined": """
+select distinct 'document_extractions' as table_name, 'normalized_text' as field_name, version_id as record_id, length(normalized_text)::int as n_chars, sha256(normalized_text) as sha256 from document_extractions where normalized_text <> ''
+union all select distinct 'rag_chunks', 'text', chunk_id, length(text)::int, sha256(text) from rag_chunks where text <> ''
+union all select distinct 'rag_chunks', 'section', chunk_id, length(section)::int, sha256(section) from rag_chunks where section <> ''
 """,
 }
