@@ -219,23 +219,33 @@ def citable_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("chunk_id", metadata.alias("metadata"), F.coalesce(linked, F.lit(False)).alias("linked"), address.alias("addressed"))
 
 
+_FUND = "^(.{2,20}?基金(?:中基金)?)"
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    """``name``: rules by their plain titles, and the funds that titles begin with."""
+    titles = table(spark, folder, "document_versions").select("title").unionByName(table(spark, folder, "documents").select("title")).where("title is not null")
+    funds = titles.select(F.regexp_extract("title", _FUND, 1).alias("name"))
+    return _titles(spark, folder).select("name").unionByName(funds).where(F.length("name") >= 4).distinct()
+
+
 def title_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """At each place of a question the longest rule name that begins there: names meet questions by their first four letters."""
-    names = _titles(spark, folder).select("name").where(F.length("name") >= 4).distinct().withColumn("g", F.left("name", F.lit(4)))
-    q = table(spark, folder, "questions").select("id", "question").distinct().where("length(question) >= 4")
-    at = q.select("id", "question", F.explode(F.sequence(F.lit(1), F.length("question") - 3)).alias("start")).withColumn("g", F.substr("question", F.col("start"), F.lit(4)))
-    met = at.join(names, "g").where(F.substr("question", F.col("start"), F.length("name")) == F.col("name"))
-    return met.groupBy("id", "start").agg(F.max(F.struct(F.length("name").alias("n"), "name")).alias("b")).select("id", "start", F.col("b.name").alias("name"))
+    """At each place of a document the longest name that begins there: names meet texts by their first four letters, places without such letters go no further."""
+    names = _names(spark, folder).withColumn("g", F.left("name", F.lit(4)))
+    d = table(spark, folder, "documents").select("doc_id", "text").where("length(text) >= 4")
+    at = d.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 3)).alias("start")).select("doc_id", "start", F.substr("text", F.col("start"), F.lit(4)).alias("g"))
+    met = at.join(names, "g").join(d, "doc_id").where(F.substr("text", F.col("start"), F.length("name")) == F.col("name"))
+    return met.groupBy("doc_id", "start").agg(F.max(F.struct(F.length("name").alias("n"), "name")).alias("b")).select("doc_id", "start", F.col("b.name").alias("name"))
 
 
 def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """The entity a question speaks of: its longest rule name, else its longest code; of equal ones the first."""
-    spans = title_spans(spark, folder).select("id", "start", "name")
-    codes = table(spark, folder, "questions").select("id", "question").distinct().select("id", F.explode(F.regexp_extract_all("question", F.lit("([A-Z]{2}[0-9]{5})"), F.lit(1))).alias("name"), "question")
-    codes = codes.select("id", F.expr("locate(name, question)").alias("start"), "name")
+    """The entity a document speaks of: the longest name in it, else its first code; of equal ones the first."""
+    spans = title_spans(spark, folder)
+    codes = table(spark, folder, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{2}[0-9]{5})"), F.lit(1))).alias("name"), "text")
+    codes = codes.select("doc_id", F.expr("locate(name, text)").alias("start"), "name")
     both = spans.withColumn("kind", F.lit("title")).unionByName(codes.withColumn("kind", F.lit("code")))
     best = F.max(F.struct((F.col("kind") == "title").cast("int").alias("t"), F.length("name").alias("n"), (-F.col("start")).alias("s"), "name", "kind")).alias("b")
-    return both.groupBy("id").agg(best).select("id", F.col("b.kind").alias("kind"), F.col("b.name").alias("name"))
+    return both.groupBy("doc_id").agg(best).select("doc_id", F.col("b.kind").alias("kind"), F.col("b.name").alias("name"))
 
 
 _C = "c as (select distinct o.id, o.suite, o.category, lower(regexp_replace(o.split, '^\\s+|\\s+$', '', 'g')) as split, o.expected_status, o.target_articles, o.allowed_doc_ids, q.doc_ids from oracle_rows o join questions q using (id))"
@@ -256,7 +266,7 @@ _NAMED = f"""q as (select distinct id, question, doc_ids from questions), nm as
 ti as (select distinct document_id, {_PLAIN.format("title")} as name from document_versions where title is not null), tn as (select * from ti where name <> '')"""
 _RERANK = f"""with b as ({r._bm25_sql("text", 20)}), x as (select b.q, b.d, b.rk, round(len(list_intersect(list_distinct({r._tok("t.title")}), list_distinct({r._tok("u.text")}))) / len(list_distinct({r._tok("t.title")})), 6) as score from b join documents t on t.doc_id = b.q join documents u on u.doc_id = b.d)
 select q, d, score, k::int as rk from (select q, d, score, row_number() over (partition by q order by score desc, rk) as k from x) where k <= 10"""
-_SPANS = f"with {_NAMED}, n as (select distinct name from tn where length(name) >= 4), p as (select id, question, unnest(range(1, length(question) - 2)) as start from q where length(question) >= 4), m as (select id, start, name from p join n on substring(question, start, 4) = left(name, 4) where substring(question, start, length(name)) = name) select id, start::int as start, max_by(name, length(name) * 1000000) as name from m group by 1, 2"
+_SPANS = f"with {_NAMED}, n as (select name from tn where length(name) >= 4 union select name from (select regexp_extract(title, '{_FUND}', 1) as name from (select title from documents union all select title from document_versions) where title is not null) where length(name) >= 4), d as (select doc_id, text from documents where length(text) >= 4), p as (select doc_id, text, unnest(range(1, length(text) - 2)) as start from d), m as (select doc_id, start, name from p join n on substring(text, start, 4) = left(name, 4) where substring(text, start, length(name)) = name) select doc_id, start::int as start, max_by(name, length(name)) as name from m group by 1, 2"
 SQL: dict[str, str] = {
     "full_scores": f"with {_F} select * from y",
     "gate_summary": f"with {_F} select suite, {_GATE}, (count(*) - sum(ordinary::int))::bigint as n_control, {_MEAN.format('recall')} as recall, {_MEAN.format('mrr')} as mrr, round(avg(recall), 6) as recall_all, sum(passed::int)::bigint as n_passed from y join (select distinct id, suite from c) using (id) group by 1",
@@ -279,7 +289,7 @@ SQL: dict[str, str] = {
     "scope_resolution": f"with {_NAMED}, kn as (select distinct document_id as doc from document_versions where document_id is not null), i as (select id, count(kn.doc) as k, count(*) - count(kn.doc) as u from (select id, unnest(list_distinct(doc_ids)) as doc from q) x left join kn using (doc) group by 1), n as (select id, max(n) as most, min(n) as least from (select id, name, count(document_id) as n from (select distinct id, name from nm) left join tn using (name) group by 1, 2) group by 1) select q.id, coalesce(k, 0) as n_documents, case when coalesce(u, 0) > 0 then 'unknown document' when most > 1 then 'ambiguous title' when least = 0 then 'unknown title' when coalesce(k, 0) = 0 and most is null then 'nothing named' else 'resolved' end as reason from q left join i using (id) left join n using (id)",
     "citable_chunks": "select distinct chunk_id, section is null or regexp_matches(section, '术语|Definitions?|Glossary') as metadata, coalesce(fund_code is not null and status <> 'unverified', false) as linked, coalesce(try_cast(json_extract_string(locator_json, '$.page') as int) >= 1 and try_cast(json_extract_string(locator_json, '$.ordinal') as int) >= 0, false) and coalesce(regexp_matches(section, '[0-9一二三四五六七八九十]'), false) as addressed from rag_chunks",
     "title_spans": _SPANS,
-    "entity_mentions": f"with s as ({_SPANS}), q as (select distinct id, question from questions), b as (select id, start, name, 'title' as kind from s union all select id, strpos(question, name), name, 'code' from (select id, question, unnest(regexp_extract_all(question, '[A-Z]{{2}}[0-9]{{5}}')) as name from q)) select id, kind, name from (select *, row_number() over (partition by id order by kind desc, length(name) desc, start, name desc) as n from b) where n = 1",
+    "entity_mentions": f"with s as ({_SPANS}), b as (select doc_id, start, name, 'title' as kind from s union all select doc_id, strpos(text, name), name, 'code' from (select doc_id, text, unnest(regexp_extract_all(text, '[A-Z]{{2}}[0-9]{{5}}')) as name from documents)) select doc_id, kind, name from (select *, row_number() over (partition by doc_id order by kind desc, length(name) desc, start, name desc) as n from b) where n = 1",
 }
 QUERIES = {
     f.__name__: f
