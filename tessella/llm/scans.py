@@ -26,6 +26,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -207,7 +208,7 @@ class Confusions:
 
     def odd_places(self, run: str) -> list[int]:
         """Places within a run of Han characters that fit neither neighbour, while these fit theirs."""
-        new = [k for k in range(len(run) - 1) if run[k : k + 2] not in self.pairs]
+        new = [k for k, pair in enumerate(map(add, run, run[1:])) if pair not in self.pairs]
         return [k for k, j in zip(new[1:], new) if k == j + 1 and 1 < k < len(run) - 2 and run[k - 2 : k] in self.pairs and run[k + 1 : k + 3] in self.pairs] if len(new) > 1 else []
 
 
@@ -244,14 +245,18 @@ def furniture_features(lines: list[str], k: int, masked: list[str], count: dict[
 # -- noise model --------------------------------------------------------------------------
 def looks_clean(text: str, sure: frozenset[str] = frozenset()) -> bool:
     """Whether no line of a text breaks off and no trace of misreading stands out."""
-    lines = text.split("\n")
-    if any(kind(x) in ("page", "garbled") for x in lines) or re.search(r"\d[OlSB]|[OlSB]\d|[A-Za-z][01]|\u00ad|¬\n|(?:[A-Za-z]-|\s)\n", text):
+    if sure and not sure.isdisjoint(text) or _TRACE.search(text):
         return False
+    lines = text.split("\n")
+    # What costs least is asked first: most lines end as sentences do.
     for a, b in zip(lines, lines[1:]):
         p = a.rstrip()
-        if kind(p) == "text" and kind(b) != "blank" and _group(p[-1:]) not in "TFBE":
+        if _group(p[-1:]) not in "TFBE" and kind(p) == "text" and kind(b) != "blank":
             return False
-    return not sure or sure.isdisjoint(text)
+    return not any(kind(x) in ("page", "garbled") for x in lines)
+
+
+_TRACE = re.compile(r"\d[OlSB]|[OlSB]\d|[A-Za-z][01]|\u00ad|¬\n|(?:[A-Za-z]-|\s)\n")
 
 
 def wrapped(line: str, rng: random.Random, width: int) -> list[tuple[str, str]]:
