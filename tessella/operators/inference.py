@@ -13,15 +13,19 @@ from tessella.plans.vocabulary import Vocabulary, iri
 
 def inferred_types(v: Vocabulary, spark: SparkSession, folder: str) -> DataFrame:
     """``entity``, ``type``, ``rule``: the types that subjects have by a property's domain and objects by its range, and equivalents of them; each once."""
-    out = []
+    out, held = [], {}
     for name, p in v.properties.items():
         if p.inverse_of:
             continue
-        s, o = v.sides(name)
-        e = v.edges(spark, folder, name)
-        ends = [("domain", s, "s", p.domain)] + ([("range", o, "o", p.range_class)] if o else [])
-        for rule, t, column, cls in ends:
-            out.append(e.select(F.col(column).alias("key")).distinct().select(iri(t, "key").alias("entity"), F.lit(cls).alias("type"), F.lit(rule).alias("rule")))
+        # Subjects of all properties of one table and domain are found in one scan.
+        held.setdefault((p.table, p.domain), []).append(F.expr(p.value).isNotNull())
+        if p.range_table:
+            ends = v.edges(spark, folder, name).select(F.col("o").alias("key")).distinct()
+            out.append(ends.select(iri(p.range_table, "key").alias("entity"), F.lit(p.range_class).alias("type"), F.lit("range").alias("rule")))
+    for (t, cls), some in held.items():
+        rows = v.rows(spark, folder, t).where(reduce(lambda a, b: a | b, some)).select("key")
+        rows = rows if v.unique(t) else rows.distinct()
+        out.append(rows.select(iri(t, "key").alias("entity"), F.lit(cls).alias("type"), F.lit("domain").alias("rule")))
     typed = reduce(lambda a, b: a.unionByName(b), out).distinct()
     pairs = [(a, b) for c in v.classes() for a, b in ((c, x) for x in v.equivalents(c))]
     same = spark.createDataFrame(pairs or [("", "")], "type string, other string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -229,11 +232,33 @@ def _names(spark: SparkSession, folder: str) -> DataFrame:
     return _titles(spark, folder).select("name").unionByName(funds).where(F.length("name") >= 4).distinct()
 
 
+#: Beginnings of names that are sent to where the texts are, at most; beyond that every place of a text meets the names in a join.
+BEGINNINGS = 200_000
+
+
+def _places(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``g``: places of texts with the four letters there; only those where a name can begin, if the names' beginnings are few enough to be sent.
+
+    Linear in a text: a substring by place would count from the beginning each time.
+    """
+    begins = names.select("g").distinct()
+    few = begins.limit(BEGINNINGS + 1).collect() if begins.count() <= BEGINNINGS else None
+    sent = docs.sparkSession.sparkContext.broadcast(None if few is None else {r.g for r in few})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = sent.value
+        for b in batches:
+            rows = [(d, k + 1, t[k : k + 4]) for d, t in zip(b["doc_id"], b["text"]) for k in range(len(t) - 3) if known is None or t[k : k + 4] in known]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "g"]).astype({"start": "int32"})
+
+    return docs.mapInPandas(run, "doc_id long, start int, g string")
+
+
 def title_spans(spark: SparkSession, folder: str) -> DataFrame:
     """At each place of a document the longest name that begins there: names meet texts by their first four letters, places without such letters go no further."""
     names = _names(spark, folder).withColumn("g", F.left("name", F.lit(4)))
     d = table(spark, folder, "documents").select("doc_id", "text").where("length(text) >= 4")
-    at = d.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 3)).alias("start")).select("doc_id", "start", F.substr("text", F.col("start"), F.lit(4)).alias("g"))
+    at = _places(d, names)
     met = at.join(names, "g").join(d, "doc_id").where(F.substr("text", F.col("start"), F.length("name")) == F.col("name"))
     return met.groupBy("doc_id", "start").agg(F.max(F.struct(F.length("name").alias("n"), "name")).alias("b")).select("doc_id", "start", F.col("b.name").alias("name"))
 
