@@ -73,7 +73,7 @@ def local_name(column: Column) -> Column:
     return F.regexp_extract(column, r"([^#/]*)$", 1)
 
 
-def NUMERAL(n: int) -> str:  # noqa: N802
+def han_numeral(n: int) -> str:
     """A whole number from 1 to 9999 in Chinese, as articles are counted: what ``numeral`` reads back."""
     out, zero = "", False
     for unit, name in ((1000, "千"), (100, "百"), (10, "十"), (1, "")):

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import NUMERAL, numeral
+from tessella.functions.text import han_numeral, numeral
 from tessella.operators import graphs
 from tessella.plans.asof_queries import _sql_day
 from tessella.plans.ontology_queries import _NEAR
@@ -145,7 +145,7 @@ _MEMBERS = "select document_id, version_id from (select document_id, version_id,
 _ERRORS = "list_filter([case when title is null or trim(title) = '' then 'title' end, case when publisher is null then 'publisher' end, case when source_uri is null or not regexp_matches(source_uri, '^[a-z]+://.+') then 'source_uri' end, case when sha256 is null or not regexp_full_match(sha256, '[0-9a-f]{64}') then 'sha256' end, case when issued_date is not null and not regexp_full_match(issued_date, '\\d{4}-\\d{2}-\\d{2}') then 'issued_date' end, case when status is null or status not in ('verified', 'unverified', 'quarantined') then 'status' end, case when authority is null or authority not in ('authoritative_original', 'research_note', 'synthetic') then 'authority' end], lambda x: x is not null)"
 _KIND = {"trusted": "authority = 'authoritative_original' and status = 'verified' and i is not null", "research": "authority = 'research_note' and status <> 'quarantined'", "regression": "authority = 'synthetic' and status <> 'quarantined'"}
 _PUBLISHED = " union all ".join(f"select '{k}' as kind, count(*) as n_members, sha256(string_agg(b || ':' || h, chr(10) order by b)) as members_sha256 from (select b, sha256(string_agg(version_id, chr(10) order by version_id)) as h, count(*) as c from (select max(version_id) as version_id, substring(sha256(max(version_id)), 1, 3) as b from v where {c} group by document_id) group by 1)".replace("count(*) as n_members", "sum(c)::bigint as n_members") for k, c in _KIND.items())
-_NUM = ", ".join(f"('{x}', {n})" for x, n in sorted({(x, numeral(x)) for x in (*map(str, range(0, 400)), *(NUMERAL(n) for n in range(1, 400)))}))
+_NUM = ", ".join(f"('{x}', {n})" for x, n in sorted({(x, numeral(x)) for x in (*map(str, range(0, 400)), *(han_numeral(n) for n in range(1, 400)))}))
 _ARTICLE = r"^第([一二三四五六七八九十百千零〇0-9]+)条[ \t\x{3000}]+\S"
 SQL = {
     "jsonl_chunks": "select distinct chunk_id, doc_id, version_id, section, text, status from rag_chunks",
