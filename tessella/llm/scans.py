@@ -72,6 +72,9 @@ _KINDS = (
     ("markup", re.compile(r"^(?:[<#>=\\{}\[|!`~*_]|[-=_*]{3,}$)|[<>\\}\]`]$|</?\w+[^<>]*>|\\\w+|\|\||^''")),
     ("remark", re.compile(r"^[（(][^（()）]*[)）]$|^(?:特此|此致|敬礼|Regards|Client desk|Total|合计|合計|附件|附錄|Annex|全文见|全文見|Source)|^\d{4}[-年]\d{1,2}[-月]\d{1,2}日?$|://\S+$")),
 )
+#: The kinds that whole lines show, in their order, in one pattern.
+_BEGUN = re.compile("|".join(f"(?P<{name}>{pattern.pattern})" for name, pattern in _KINDS[:6]))
+_MARKUP_HINT = re.compile(r"[-<#>=\\{}\[\]|!`~*_']")
 _GROUPS = {**{c: "T" for c in "。！？!?"}, **{c: "C" for c in "，,；;：:、"}, **{c: "Y" for c in "-\u00ad¬"}, **{c: "B" for c in "）)》」』”\"'"}, **{c: "A" for c in "（(《「『“"}, "%": "P", ".": "F", "": "E"}
 
 
@@ -98,10 +101,13 @@ def _kind(line: str) -> str:
             for name, pattern in _KINDS[1:3]:
                 if pattern.search(inner):
                     return name
-    for name, pattern in _KINDS:
-        if pattern.search(s):
-            return name
-    return "text"
+    if m := _BEGUN.match(s):
+        return m.lastgroup
+    markup, remark = _KINDS[6][1], _KINDS[7][1]
+    if _MARKUP_HINT.search(s) and markup.search(s):
+        return "markup"
+    # But for addresses, remarks show at the beginning.
+    return "remark" if remark.match(s) or ("://" in s and remark.search(s)) else "text"
 
 
 _short_kind, _long_kind = lru_cache(1 << 16)(_kind), lru_cache(64)(_kind)
@@ -208,6 +214,8 @@ class Confusions:
 
     def odd_places(self, run: str) -> list[int]:
         """Places within a run of Han characters that fit neither neighbour, while these fit theirs."""
+        if all(map(self.pairs.__contains__, map(add, run, run[1:]))):
+            return []
         new = [k for k, pair in enumerate(map(add, run, run[1:])) if pair not in self.pairs]
         return [k for k, j in zip(new[1:], new) if k == j + 1 and 1 < k < len(run) - 2 and run[k - 2 : k] in self.pairs and run[k + 1 : k + 3] in self.pairs] if len(new) > 1 else []
 
