@@ -177,6 +177,8 @@ _HAN_RUN = re.compile("[一-鿿]{3,}")
 _WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]*[a-z][A-Za-z0-9]*")
 #: Lines in which nothing is misread: signs and garbled characters are other problems' matter.
 _UNTOUCHED = frozenset(("markup", "garbled", "formula"))
+#: A line that begins with the mark of a block is not the rest of another.
+_BLOCK_MARK = re.compile(r"\s*(?:</?(?:div|p|pre|ul|ol|li|h[1-6]|table|tr|td|source|script|style)\b|\\(?:begin|end|item|chapter|section|subsection)\b|\|[-}]|\{\||~~~|```|={3,}\s*$|-{3,}\s*$)", re.IGNORECASE)
 #: A page number on a line of its own or after a title.
 _PAGE_LIKE = re.compile(r"(?m)^[ \t]*(?:\W{0,2} ?\d{1,4} ?\W{0,2}|第 ?\d{1,4} ?[页頁].*|[Pp]age \d.*|\d{1,4} ?/ ?\d{1,4})[ \t]*$|\S {1,3}\d{1,4}[ \t]*$")
 
@@ -576,7 +578,7 @@ class Editor:
 
     def _join(self, p: str, a: str, widest: int) -> str:
         pk, ak = kind(p), kind(a)
-        if "garbled" in (pk, ak) or "blank" in (pk, ak) or pk == ak == "code":
+        if "garbled" in (pk, ak) or "blank" in (pk, ak) or pk == ak == "code" or _BLOCK_MARK.match(a):
             return "keep"
         features = tuple(join_features(p, a, widest))
         if (known := self._joins.get(features)) is None:
