@@ -8,14 +8,17 @@ slices. In a shard an Aho-Corasick automaton made of passages of the evaluation
 scans the training wordings; the intervals of an evaluation wording whose passages are met
 are merged into its coverage; sufficient coverage makes a candidate, and an exact check
 decides: same numbers and dates, sentences in any order, no difference but typing slips.
+Wordings of the same numbers that are no candidates so are met by their letters: a slip adds
+or drops one letter at most, so nothing that the exact check lets pass is left out.
 
 Passages are overlapping grams, so that a slip breaks only the few it stands in. A wording
-is looked for by its rarest grams: by as many as one slip cannot break, whatever they cost,
-and by as many more as ``SURE`` slips cannot break where few wordings share them.
+is looked for by its rarest grams: by as many as ``SURE`` slips cannot break, where few
+wordings share them. What that leaves is left to the letters.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,7 +33,7 @@ from tessella.sources.tables import checkpointed
 
 #: Evaluation and training wordings of one shard at most.
 SHARD, BLOCK = 20_000, 100_000
-#: Least coverage of an evaluation wording, slips allowed by the exact check, slips that leave an anchor, wordings of equal numbers that may share one of the further anchors.
+#: Coverage that makes a candidate, slips allowed by the exact check, slips that leave an anchor, wordings of equal numbers that may share an anchor.
 COVERAGE, SLIPS, SURE, SHARED = 0.5, 6, 4, 64
 
 # Stems of courtesy. A short clause or sentence that holds one, and no number, title or question, says nothing of the matter.
@@ -101,31 +104,50 @@ def wording(text: str) -> str:
     return "|".join(sorted(found))
 
 
+def apart(a: Counter, b: Counter) -> int:
+    """Letters that one of two wordings holds more than the other: as many slips are between them at least, whatever the order of sentences."""
+    return sum(abs(a[c] - b[c]) for c in a.keys() | b.keys())
+
+
 def slips(a: str, b: str, most: int) -> int:
     """Letters dropped, added or swapped with their neighbour between ``a`` and ``b``; more than ``most`` for any other difference.
 
     A letter replaced by its neighbour counts as two slips. A letter replaced by any other, two
     letters in a row added, or a change in a number is no slip.
     """
+    if a == b:
+        return 0
+    least = apart(Counter(a), Counter(b))
+    if abs(len(a) - len(b)) > most or least > most:
+        return most + 1  # a slip adds or drops one letter at most
     k = 0
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
     k = max(0, k - 1)  # one equal letter stays on either side: a doubled one is known by its neighbour
-    a, b = a[k:], b[k:]
+    c, d = a[k:], b[k:]
     k = 0
-    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
+    while k < min(len(c), len(d)) and c[-1 - k] == d[-1 - k]:
         k += 1
     k = max(0, k - 1)
-    if k:
-        a, b = a[:-k], b[:-k]
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most or sum(((x := Counter(a)) - (y := Counter(b))).values()) + sum((y - x).values()) > most:
-        return most + 1  # a slip adds or drops one letter at most
-    # Least cost over alignments; the state says whether the last step added or dropped a letter.
+    cost = _cost(c[: len(c) - k], d[: len(d) - k], most)
+    # Letters that come again and again may take slips where both are equal.
+    return cost if cost <= max(1, least) else _cost(a, b, most)
+
+
+def _cost(a: str, b: str, most: int, closed: tuple[tuple[int, int], ...] = ()) -> int:
+    rows = _aligned(a, b, most, False, closed)
+    return min(rows[len(a)].get(len(b), (most + 1,))) if rows else most + 1
+
+
+def _aligned(a: str, b: str, most: int, more: bool = False, closed: tuple[tuple[int, int], ...] = ()) -> list[dict[int, tuple[int, int]]]:
+    """Least slips between the beginnings of ``a`` and ``b``, a row for each of ``a``; empty if none is within ``most``.
+
+    The second cost of two is for a letter added or dropped in the last step. ``more``: letters may follow both.
+    ``closed``: places that are not passed.
+    """
     inf = most + 1
     free = lambda c: not (c.isdigit() or c in "<>_")
-    doubled = lambda s, k: s[k - 1 : k] in (s[k - 2 : k - 1] if k > 1 else "\0", s[k : k + 1])
+    doubled = lambda s, k: (more and k == len(s)) or s[k - 1 : k] in (s[k - 2 : k - 1] if k > 1 else "\0", s[k : k + 1])
     band = most + 1
     rows: list[dict[int, tuple[int, int]]] = [{0: (0, inf)}]
     for i in range(len(a) + 1):
@@ -145,11 +167,30 @@ def slips(a: str, b: str, most: int) -> int:
                 moved = min(moved, p[0] + 1)
             if j and free(b[j - 1]) and (p := rows[i].get(j - 1)):
                 moved = min(moved, p[0] + 1)
-            if min(still, moved) < inf:
+            if min(still, moved) < inf and (i, j) not in closed:
                 rows[i][j] = (still, moved)
-        if i and not rows[i] and not rows[i - 1]:
-            return inf
-    return min(rows[len(a)].get(len(b), (inf, inf)))
+        if i and not rows[i] and not rows[i - 1] and not (more and any(j >= len(b) - 1 for row in rows for j in row)):
+            return []
+    return rows
+
+
+def _open(a: str, b: str, most: int, closed: tuple[tuple[int, int], ...]) -> int:
+    """Slips between two beginnings, whatever follows them; more than ``most`` only if they cannot go on alike."""
+    k, size = 0, min(len(a), len(b))
+    while k < size and a[k] == b[k]:
+        k += 1
+    if k == size and not closed:
+        return 0
+    # Where one ends the other may be ``most`` letters ahead and one swap begun.
+    if apart(Counter(a[k:size]), Counter(b[k:size])) > 2 * most + 2:
+        return most + 1
+    for k in dict.fromkeys((0 if closed else max(0, k - 1), 0)):  # the whole only if not alike without the equal letters before
+        x, y = a[k:], b[k:]
+        rows = _aligned(x, y, most, True, closed)
+        cost = min((min(c) for i, row in enumerate(rows) for j, c in row.items() if i >= len(x) - 1 or j >= len(y) - 1), default=most + 1)
+        if cost <= most:
+            break
+    return cost
 
 
 _MARKED = re.compile("<[^>]*>")
@@ -160,24 +201,62 @@ def numbers(text: str) -> str:
     return "".join(sorted(_MARKED.findall(text)))
 
 
+def letters(text: str) -> Counter:
+    """How often a wording holds each letter."""
+    return Counter(text.replace("|", ""))
+
+
+def _without(sentences: tuple[str, ...], one: str) -> tuple[str, ...]:
+    k = sentences.index(one)
+    return sentences[:k] + sentences[k + 1 :]
+
+
+def _woven(x: tuple[str, ...], y: tuple[str, ...], most: int, failed: dict) -> bool:
+    """Whether sentences are the same but for their order, slips and lost ends.
+
+    Both sides are put together sentence by sentence, the longest one among them, while one
+    can still become the other, the fewest slips first. Where sentences of both end at
+    one place the rest is a case of its own, and what goes on does not pass that place.
+    ``failed``: the slips with which two rests were tried.
+    """
+    if not x or not y:
+        return not x and not y
+    if len(x) == len(y) == 1:
+        return slips(x[0], y[0], most) <= most
+    if failed.get(key := (x, y), -1) >= most or apart(letters("".join(x)), letters("".join(y))) > most:
+        return False
+    if max(map(len, x)) < max(map(len, y)):
+        x, y = y, x
+    first = max(x, key=len)
+    starts = [s for s in sorted(set(x), key=len) if s != first] + [first]
+    heap, seen = [], set()
+    while heap or starts:
+        if not heap:
+            heap.append((0, 0, _without(x, starts[-1]), y, starts.pop(), "", ()))
+        _, _, p, q, a, b, closed = heapq.heappop(heap)
+        if a and b and (cost := _cost(a, b, most, closed) if closed else slips(a, b, most)) <= most:
+            if p.count(first) < x.count(first) and _woven(p, q, most - cost, failed):
+                return True
+            if p and q:
+                closed = (*closed, (len(a), len(b)))
+        steps = [(_without(p, s), q, a + s, b, closed) for s in set(p) if len(a) - len(b) <= most]
+        steps += [(p, _without(q, s), a, b + s, closed) for s in set(q) if len(b) - len(a) <= most]
+        for step in steps:
+            if step not in seen and (cost := _open(step[2], step[3], most, closed)) <= most:
+                seen.add(step)
+                heapq.heappush(heap, (cost, -min(len(step[2]), len(step[3])), *step))
+    failed[key] = most
+    return False
+
+
 def same_question(a: str, b: str, most: int = SLIPS) -> bool:
-    """Whether two wordings ask the same question."""
+    """Whether two wordings ask the same question; a sentence that stands in both stands for itself."""
     if a == b:
         return True
-    if numbers(a) != numbers(b):
+    if numbers(a) != numbers(b) or apart(letters(a), letters(b)) > most:
         return False
     left, right = Counter(a.split("|")), Counter(b.split("|"))
-    x, y = list((left - right).elements()), list((right - left).elements())
-    if len(x) != len(y):  # a sentence's end was lost: compare what is left as one
-        return slips("".join(x), "".join(y), most) <= most if x and y else not "".join(x + y)
-    total = 0
-    for s in x:
-        best, k = min((slips(s, t, most), k) for k, t in enumerate(y))
-        total += best
-        if total > most:
-            return False
-        y.pop(k)
-    return True
+    return _woven(tuple(sorted((left - right).elements())), tuple(sorted((right - left).elements())), most, {})
 
 
 def gram(size: int, ascii_: bool) -> int:
@@ -209,7 +288,12 @@ def coverage(parts: list[tuple[str, int, int]], size: int, text: str) -> float:
 
 
 class Shard:
-    """The automaton of evaluation wordings: pairs of a key and a wording. ``times``: how many slices a group of equal numbers was cut into."""
+    """The automaton of evaluation wordings: pairs of a key and a wording. ``times``: how many slices a group of equal numbers was cut into.
+
+    Beside it each group of equal numbers has its wordings by their rarest letters. Of two
+    wordings at most ``SLIPS`` letters apart, the rarest letter in both is among the first
+    that either has, as far as letters may be missing in the other.
+    """
 
     def __init__(self, wordings: list[tuple[str, str]], times: dict[str, int] | None = None):
         self.text = dict(wordings)
@@ -217,6 +301,10 @@ class Shard:
         groups: dict[str, list[str]] = defaultdict(list)
         for k, t in wordings:
             groups[numbers(t)].append(k)
+        self.groups = groups
+        self.letters: dict[str, Counter] = {}
+        self.often: dict[str, Counter] = {}
+        self.rarest: dict[str, dict[tuple[str, int], dict[tuple[int, int], list[str]]]] = {}
         automaton = ahocorasick.Automaton()
         anchored: dict[str, dict[str, list[str]]] = {}
         for n, keys in groups.items():
@@ -225,6 +313,13 @@ class Shard:
             for k in keys:
                 for p in self._anchors(self.parts[k], often, most):
                     anchored.setdefault(p, {}).setdefault(n, []).append(k)
+            if len(keys) > SLIPS:
+                self.letters.update((k, letters(self.text[k])) for k in keys)
+                self.often[n] = Counter(x for k in keys for x in self._each(self.letters[k]))
+                self.rarest[n] = {}
+                for k in keys:
+                    for i, x in enumerate(self._ranked(n, self.letters[k])):
+                        self.rarest[n].setdefault(x, {}).setdefault((i, self.letters[k].total()), []).append(k)
         for p, where in anchored.items():
             automaton.add_word(p, where)
         if len(automaton):
@@ -235,31 +330,57 @@ class Shard:
     def _anchors(parts: list[tuple[str, int, int]], often: dict[str, int], most: float) -> list[str]:
         grams = {p: b - a for p, a, b in parts if p[0] != "<"}
         if not grams:
-            return [parts[0][0]]
+            return [p for p, _, _ in parts[:1]]
         # A slip breaks at most as many passages as one is long, and one more if two letters are swapped.
         broken = max(grams.values()) + 1
         ranked = sorted(grams, key=lambda p: (often.get(p, 1), -len(p), p)) if often else list(grams)
         if not often:  # one wording of its numbers: anchors spread over it
             step = max(1, len(ranked) // (SURE * broken + 1))
             return ranked[::step]
-        return [p for i, p in enumerate(ranked[: SURE * broken + 1]) if i <= broken or often[p] <= most]
+        return [p for p in ranked[: SURE * broken + 1] if often[p] <= most]
+
+    @staticmethod
+    def _each(held: Counter) -> list[tuple[str, int]]:
+        """Letters, the second of a kind as another one."""
+        return [(c, i) for c, k in held.items() for i in range(k)]
+
+    def _ranked(self, n: str, held: Counter) -> list[tuple[str, int]]:
+        """The rarest letters among wordings with the numbers ``n``: one more than slips may take."""
+        often = self.often[n]
+        return heapq.nsmallest(SLIPS + 1, self._each(held), key=lambda x: (often[x], x))
+
+    def _near(self, n: str, text: str, done: set[str]) -> Iterator[str]:
+        """Wordings with the numbers ``n`` that are at most ``SLIPS`` letters apart from ``text``, without those ``done``."""
+        if len(keys := self.groups.get(n, ())) <= len(done):
+            return
+        held = letters(text)
+        if n not in self.rarest:
+            near = set(keys)
+        else:
+            size, near = held.total(), set()
+            for j, x in enumerate(self._ranked(n, held)):
+                for (i, other), found in self.rarest[n].get(x, {}).items():
+                    if 2 * i <= SLIPS + other - size and 2 * j <= SLIPS + size - other:
+                        near.update(found)
+            if size <= SLIPS:  # two wordings as short as that may have no letter in common
+                near.update(k for k in keys if self.letters[k].total() + size <= SLIPS)
+        yield from (k for k in near - done if apart(self.letters.get(k) or letters(self.text[k]), held) <= SLIPS)
 
     def repeats(self, text: str) -> list[tuple[str, float]]:
         """Evaluation wordings that ``text`` repeats, with their coverage."""
-        if not self.automaton:
-            return []
         own, met = numbers(text), set()
-        for _, where in self.automaton.iter(text):
-            if own in where:
-                met.update(where[own])
+        if self.automaton:
+            for _, where in self.automaton.iter(text):
+                if own in where:
+                    met.update(where[own])
+        share = {k: coverage(self.parts[k], len(self.text[k]), text) for k in met}
+        done = {k for k in met if share[k] >= COVERAGE}
         out = []
-        for k in met:
+        for k in [*done, *self._near(own, text, done)]:
             if (t := self.text[k]) == text:
                 out.append((k, 1.0))
-                continue
-            share = coverage(self.parts[k], len(t), text)
-            if share >= COVERAGE and same_question(t, text):
-                out.append((k, share))
+            elif same_question(t, text):
+                out.append((k, share[k] if k in share else coverage(self.parts[k], len(t), text)))
         return out
 
 

@@ -137,6 +137,35 @@ def test_repeats_do_not_depend_on_shards(spark, monkeypatch):
     assert found() == whole
 
 
+def test_no_repeat_is_left_out_among_many_of_its_numbers():
+    import random
+
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    say = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    names = [say(4) for _ in range(150)]
+    base = [leakage.wording(f"{x}医院值班护士应当怎样核对处方剂量？") for x in names] + [leakage.wording(say(6)) for _ in range(20)]
+
+    def slip(t, k):
+        for i in sorted(rng.sample(range(0, len(t) - 1, 2), min(k, len(t) // 2 - 1)), reverse=True):
+            t = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+        return t
+
+    other = [slip(t, rng.randint(0, leakage.SLIPS)) for t in base]
+    shard = leakage.Shard([(str(i), t) for i, t in enumerate(base)])
+    got = {(k, t) for t in other for k, _ in shard.repeats(t)}
+    assert got == {(str(i), t) for i, e in enumerate(base) for t in other if leakage.same_question(e, t)}
+    assert {(str(i), t) for i, t in enumerate(other)} <= got
+
+
+def test_lost_sentence_ends_in_any_order(spark):
+    a, b, c = "住院病人在周末办理出院手续", "值班护士应当怎样核对处方剂量", "门诊登记员可以拒绝退药吗"
+    rows = [("t1", f"{b}？{a}。{c}？", "train"), ("e1", f"{b}{a}。{c}？", "dev"), ("e2", f"{c}{b}{a}", "dev"), ("e3", f"{b}？{a}{c}？", "dev"), ("e4", f"{c}？{a}{b}核？", "dev"), ("e5", f"{b}{a}。{c.replace('退药', '换药')}？", "dev")]
+    rows += [("t2", f"{b}？{a}{c}？", "train")]
+    got = {(r.eval_id, r.train_id) for r in leakage.overlaps(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s").collect()}
+    assert got == {(e, "t1") for e in ("e1", "e2", "e3", "e4")} | {("e1", "t2"), ("e3", "t2")}
+
+
 def test_overlap_classes_say_links_without_pairs_of_copies(spark):
     q = "截至2010年10月19日，甲乙基金已连续385个工作日规模低于3179326元。是否需要披露？"
     rows = [(f"t{i}", q, "train") for i in range(30)] + [(f"e{i}", q, "dev") for i in range(20)]

@@ -170,6 +170,17 @@ def test_slips_against_brute_force():
     assert leakage.slips("abcd", "abxd", 3) > 3 and leakage.slips("abcd", "ad", 3) > 3 and leakage.slips("a1", "a", 3) > 3
 
 
+def test_sentences_are_paired_for_the_fewest_slips():
+    swap = lambda t, *at: t if not at else swap(t[: at[0]] + t[at[0] + 1] + t[at[0]] + t[at[0] + 2 :], *at[1:])
+    one = "abcdefghijklmnopqrstuvwxyz"
+    near = swap(one, 0)
+    # The nearest to the first sentence is the one that the second needs.
+    a, b = [near, swap(one, 12, 16, 20)], [one, swap(near, 4, 8)]
+    assert leakage.same_question("|".join(a), "|".join(b)) and leakage.same_question("|".join(b), "|".join(a))
+    assert not leakage.same_question("|".join(a), "|".join([one, swap(near, 4, 8, 14, 18, 22)]))
+    assert leakage.slips("aaa", "aaaaaa", 6) == 3
+
+
 # -- 7 ------------------------------------------------------------------------------------
 PLAIN = "基金管理人应当在三十个工作日内对净值公告予以确认，并保留完整的操作痕迹。"
 
